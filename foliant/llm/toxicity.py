@@ -27,6 +27,7 @@ EPOCHS = 45
 #: N-grams of fewer training texts have no vector of their own: a fiftieth of the toxic texts, within these bounds.
 LEAST_TEXTS = (2, 15)
 DECAY = 3e-7
+LEAST_SHARE = 0.25
 #: Bound of the labelled sample that the classifier is fitted on.
 SAMPLE = {0: 3000, 1: 1500}
 CACHE = 200_000
@@ -81,6 +82,9 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 5) -> Model:
     starts = ends - [len(docs[i]) for i in full]
     first = np.maximum(np.arange(len(flat)) - WINDOW + 1, np.repeat(starts, ends - starts))
     target = y[full]
+    # Toxic texts are rare; they count as at least LEAST_SHARE of the clean ones.
+    weight = np.where(target == 1, max(1.0, LEAST_SHARE * (target == 0).sum() / max(1, target.sum())), 1.0)
+    weight /= weight.mean()
     rng = np.random.default_rng(seed)
     e = rng.normal(0, 0.05, (BUCKETS, DIM)) * common_enough[:, None]
     u = rng.normal(0, 1.0, (DIM, 2))
@@ -95,7 +99,7 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 5) -> Model:
         top = np.maximum.reduceat(s, starts)
         at = np.array([i + int(np.argmax(s[i:j])) for i, j in zip(starts, ends)])
         p = 1 / (1 + np.exp(-np.clip(b[1] - b[0] + top / WINDOW, -50, 50)))
-        g = (p - target) / len(target)
+        g = weight * (p - target) / len(target)
         lens = at + 1 - first[at]
         inside = np.repeat(first[at] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         gw = np.bincount(flat[inside], np.repeat(g / WINDOW, lens), len(vocab)) * share
