@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from foliant import registry
+from foliant.plans import retrieval_queries  # noqa: F401  registers its queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.SQL)
