@@ -136,7 +136,9 @@ def search(df: DataFrame, is_query, k: int = 20) -> DataFrame:
     stats = rows.agg(F.count("*"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()
     if not stats[0]:
         return empty
-    sample = rows.orderBy(F.xxhash64(F.lit(SEED), "vec_id"), "vec_id").limit(SAMPLE).select("v").toPandas()
+    sample = rows.filter(common.unit_hash("vec_id", SEED) < SAMPLE / stats[0]).toPandas().sort_values("vec_id", kind="stable")
+    if not len(sample):
+        sample = rows.limit(1).toPandas()
     index = Index(_vectors(sample["v"]), float(stats[1]), stats[0])
     held = spark.sparkContext.broadcast(index)
 

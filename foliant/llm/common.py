@@ -46,14 +46,21 @@ def utf8(text: Column) -> Column:
     return F.coalesce(text.cast("binary"), F.lit(bytearray()))
 
 
-def stratified(df: DataFrame, stratum: str, key: str, per_stratum: int, seed: int = 17) -> DataFrame:
-    """About per_stratum rows of each stratum, picked by a hash of key, alike in every run.
+def unit_hash(key: str, seed: int = 17) -> Column:
+    """A number in [0, 1) from a hash of key, the same in every run."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 31)) / float(1 << 31)
+
+
+def stratified(df: DataFrame, stratum: str, key: str, per_stratum: int | dict, seed: int = 17) -> DataFrame:
+    """About per_stratum rows of each stratum (a dict: of those that it names), picked by a hash of key.
 
     Two passes without a shuffle of rows: a count per stratum, then a filter by hash against the rate that the
-    count gives. The rates travel as literals, so the number of strata should be small (labels, languages).
+    count gives. Unlike a sort with a limit, no task sends more than its share to the driver. The rates travel as
+    literals, so the number of strata should be small (labels, languages).
     """
-    rates = {r[0]: min(1.0, per_stratum / max(1, r[1])) for r in df.groupBy(stratum).count().collect() if r[0] is not None}
-    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 31)) / float(1 << 31)
+    most = lambda v: per_stratum.get(v, 0) if isinstance(per_stratum, dict) else per_stratum
+    rates = {r[0]: min(1.0, most(r[0]) / max(1, r[1])) for r in df.groupBy(stratum).count().collect() if r[0] is not None}
+    unit = unit_hash(key, seed)
     keep = F.lit(False)
     for value, rate in sorted(rates.items(), key=lambda x: str(x[0])):
         keep = keep | ((F.col(stratum) == F.lit(value)) & (unit < F.lit(rate)))
@@ -67,14 +74,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     few that were picked; their number bounds what is broadcast and collected.
     """
     ids = labels.filter(train & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).alias("label"))
-    parts = []
-    for value, most in sorted(per_class.items()):
-        own = ids.filter(F.col("label") == value)
-        parts.append(own.orderBy(F.xxhash64(F.lit(17), "doc_id"), "doc_id").limit(most))
-    picked = parts[0]
-    for p in parts[1:]:
-        picked = picked.unionByName(p)
-    rows = picked.collect()
+    rows = stratified(ids, "label", "doc_id", per_class).collect()
     if not rows:
         return []
     chosen = documents.sparkSession.createDataFrame([(r["doc_id"], r["label"]) for r in rows], "__id long, __label int")

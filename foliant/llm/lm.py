@@ -67,6 +67,24 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.select("utf8").mapInArrow(part, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+def head_of(counts: DataFrame, most: int = HEAD) -> tuple[list[bytes], list[int]]:
+    """At most `most` of the most frequent words of at most HEAD_BYTES bytes, by count and word, and their counts.
+
+    A histogram over steps of the logarithm of the count gives the smallest count that still fits, so that no task
+    sends more than its own part of the head.
+    """
+    short = counts.filter(F.length("word") <= HEAD_BYTES).withColumn("step", F.floor(F.log2("c") * 64))
+    found, least = 0, None
+    for r in sorted(short.groupBy("step").count().collect(), key=lambda r: -r["step"]):
+        found += r["count"]
+        if found > most:
+            break
+        least = r["step"]
+    rows = short.filter(F.col("step") >= least).collect() if least is not None else []
+    rows.sort(key=lambda r: (-r["c"], bytes(r["word"])))
+    return [bytes(r["word"]) for r in rows], [r["c"] for r in rows]
+
+
 class Vocabulary:
     """The head words in order of count, and the corpus totals."""
 
@@ -267,8 +285,7 @@ def score(df: DataFrame, train_rows: Column, keep: list[str] | None = None) -> D
     texts = df.filter(train_rows).select(common.utf8(F.col("text")).alias("utf8"))
     counts = common.written(word_counts(texts), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.filter(F.length("word") <= HEAD_BYTES).orderBy(F.desc("c"), "word").limit(HEAD).collect()
-    vocab = Vocabulary([bytes(r["word"]) for r in top], [r["c"] for r in top], total[0], total[1])
+    vocab = Vocabulary(*head_of(counts), total[0], total[1])
     model = train(texts, vocab)
     held = spark.sparkContext.broadcast((model, vocab))
 
