@@ -42,10 +42,11 @@ def first_filled(*cs: Column) -> Column:
 
 
 def expand_aliases(c: Column) -> Column:
-    """Spells out abbreviations; a second pass expands again, so apply it once."""
+    """Spells out abbreviations; a second pass expands again, so apply it once. One cheap test spares most texts."""
+    out = c
     for pattern, to in ALIASES:
-        c = F.regexp_replace(c, f"(?iU){pattern}", to)
-    return c
+        out = F.regexp_replace(out, f"(?iU){pattern}", to)
+    return F.when(c.rlike(r"(?i)[23]\s*[′’']?\s*-?\s*fl|lnn?t|coli|udp|hmo"), out).otherwise(c)
 
 
 def normalize_search(c: Column) -> Column:

@@ -14,10 +14,10 @@ QUERY = "Which evidence reports the stupid worthless result of thread ii"
 #: The normal form in DuckDB; aliases with lookahead have no counterpart there and no match in the test data.
 NORM = r"trim(regexp_replace(replace(lower(coalesce(text, '')), chr(173), ''), '[^a-z0-9\x{4e00}-\x{9fff}]+', ' ', 'g'))"
 ENTRIES = f"entries AS (SELECT doc_id AS id, source AS paper_id, doc_id AS ord, {NORM} AS normalized FROM documents)"
-TERMS = ", ".join(f"('{t}', {w})" for t, w in tx.query_terms(QUERY).items())
-SCORE = " + ".join(f"CASE WHEN contains(normalized, '{t}') THEN {w} ELSE 0 END" for t, w in tx.query_terms(QUERY).items()) + " + CASE WHEN contains(normalized, 'fermentation experiment') THEN 0.12 ELSE 0 END"
+TERMS = ", ".join(f"('{t}', {w}::DOUBLE)" for t, w in tx.query_terms(QUERY).items())
+SCORE = " + ".join(f"CASE WHEN contains(normalized, '{t}') THEN {w}::DOUBLE ELSE 0 END" for t, w in tx.query_terms(QUERY).items()) + " + CASE WHEN contains(normalized, 'fermentation experiment') THEN 0.12::DOUBLE ELSE 0 END"
 STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
-TOKENS = rf"list_filter(list_distinct(regexp_extract_all(normalized, '[a-z0-9]+|[\x{{4e00}}-\x{{9fff}}]+')), x -> length(x) >= 2 AND x NOT IN ({STOP}))"
+TOKENS = rf"list_filter(list_distinct(regexp_extract_all(normalized, '[a-z0-9]+|[\x{{4e00}}-\x{{9fff}}]+')), lambda x: length(x) >= 2 AND x NOT IN ({STOP}))"
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
@@ -97,7 +97,7 @@ def r9_relevance_boost(spark, d):
     return rt.boosted(hits, F.col("normalized"), QUERY).filter("lexical_score > 0").select("id", F.round("score", 6).alias("score"))
 
 
-VEC = "(SELECT list_transform(embedding, x -> x::DOUBLE) FROM embeddings WHERE vec_id = 7)"
+VEC = "(SELECT list_transform(embedding, lambda x: x::DOUBLE) FROM embeddings WHERE vec_id = 7)"
 
 
 def vectors(spark, d):
@@ -106,17 +106,17 @@ def vectors(spark, d):
     return e.select(F.col("vec_id").alias("id"), "embedding", "label").crossJoin(F.broadcast(q))
 
 
-@query(f"SELECT vec_id AS id, round(list_cosine_similarity(list_transform(embedding, x -> x::DOUBLE), {VEC}), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
+@query(f"SELECT vec_id AS id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {VEC}), 6) AS score FROM embeddings ORDER BY score DESC, id LIMIT 10")
 def r1_cosine_topk(spark, d):
     return rt.top(vectors(spark, d).select("id", F.round(rt.cosine(F.col("embedding"), F.col("q")), 6).alias("score")), 10)
 
 
-@query(f"SELECT * FROM (SELECT vec_id AS id, round(list_cosine_similarity(list_transform(embedding, x -> x::DOUBLE), {VEC}), 6) AS score FROM embeddings) WHERE score >= 0.1")
+@query(f"SELECT * FROM (SELECT vec_id AS id, round(list_cosine_similarity(list_transform(embedding, lambda x: x::DOUBLE), {VEC}), 6) AS score FROM embeddings) WHERE score >= 0.1")
 def f2_score_threshold(spark, d):
     return vectors(spark, d).select("id", F.round(rt.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).filter("score >= 0.1")
 
 
-@query(f"SELECT vec_id AS id, round(pow(list_distance(list_transform(embedding, x -> x::DOUBLE), {VEC}), 2), 6) AS score FROM embeddings ORDER BY score, id LIMIT 10")
+@query(f"SELECT vec_id AS id, round(pow(list_distance(list_transform(embedding, lambda x: x::DOUBLE), {VEC}), 2), 6) AS score FROM embeddings ORDER BY score, id LIMIT 10")
 def r27_l2_topk(spark, d):
     return vectors(spark, d).select("id", F.round(rt.l2(F.col("embedding"), F.col("q")), 6).alias("score")).orderBy("score", "id").limit(10)
 
@@ -158,7 +158,7 @@ def r12_multi_query_fusion(spark, d):
 
 
 SEEDS = f"{ENTRIES}, seeds AS (SELECT id, paper_id, ord, round({SCORE}, 6) AS score, row_number() OVER (ORDER BY round({SCORE}, 6) DESC, id) AS rank FROM entries QUALIFY rank <= 20)"
-NEAR = f"{SEEDS}, near AS (SELECT e.id, e.paper_id, e.ord, s.id AS seed, abs(e.ord - s.ord) AS distance, s.score * greatest(0.55, 0.98 - 0.08 * abs(e.ord - s.ord)) AS score FROM entries e JOIN seeds s ON e.paper_id = s.paper_id WHERE e.id <> s.id AND abs(e.ord - s.ord) <= 60 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY s.score * greatest(0.55, 0.98 - 0.08 * abs(e.ord - s.ord)) DESC, s.id) = 1)"
+NEAR = f"{SEEDS}, near AS (SELECT e.id, e.paper_id, e.ord, s.id AS seed, abs(e.ord - s.ord) AS distance, s.score * greatest(0.55::DOUBLE, 0.98::DOUBLE - 0.08::DOUBLE * abs(e.ord - s.ord)) AS score FROM entries e JOIN seeds s ON e.paper_id = s.paper_id WHERE e.id <> s.id AND abs(e.ord - s.ord) <= 60 QUALIFY row_number() OVER (PARTITION BY e.id ORDER BY s.score * greatest(0.55::DOUBLE, 0.98::DOUBLE - 0.08::DOUBLE * abs(e.ord - s.ord)) DESC, s.id) = 1)"
 
 
 def seeds(spark, d):
@@ -223,7 +223,7 @@ def r19_evidence_search(spark, d):
     return rt.append_unique(placed(spark, d).select("id", "score"), seeds(spark, d).select("id", "score"))
 
 
-@query(f"WITH {SEEDS}, p AS (SELECT id, row_number() OVER (ORDER BY id) AS rank FROM seeds QUALIFY rank <= 3) SELECT id, row_number() OVER (ORDER BY part, rank) AS new_rank FROM (SELECT id, rank, 0 AS part FROM p UNION ALL SELECT id, rank, 1 FROM seeds WHERE id NOT IN (SELECT id FROM p)) QUALIFY new_rank <= 10")
+@query(f"WITH {SEEDS}, p AS (SELECT id, r AS rank FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM seeds) WHERE r <= 3) SELECT id, row_number() OVER (ORDER BY part, rank) AS new_rank FROM (SELECT id, rank, 0 AS part FROM p UNION ALL SELECT id, rank, 1 FROM seeds WHERE id NOT IN (SELECT id FROM p)) QUALIFY new_rank <= 10")
 def d3_protect_prefix(spark, d):
     s = seeds(spark, d).select("id", "rank")
     p = s.select("id").orderBy("id").limit(3).select("id", F.row_number().over(Window.orderBy("id")).alias("rank"))
