@@ -2,7 +2,7 @@
 
 Vectors get one more component that gives all of them one norm, so that the largest inner product is the smallest
 distance, and are rotated at random. Lists come from k-means on a bounded sample; every vector is indexed. A query
-scans the lists of its PROBES nearest centroids. Inside a list the rotated components are read in blocks of columns:
+scans the lists of its nearest centroids, a share PROBE_SHARE of all and PROBES at least. Inside a list the rotated components are read in blocks of columns:
 after each block the partial distance, scaled to all dimensions, is a guess of the whole, and a candidate is
 abandoned as soon as a hypothesis test finds that guess too far above the query's current k-th distance. Whatever is
 left is scored exactly, in double precision on the original vectors.
@@ -12,7 +12,7 @@ popular one meets in one task. Rows that tie keep the smaller id, in cells and o
 
 Edge cases: vectors that are null, zero or hold null or non-finite components take no part, nor do those of another
 length than most (the shorter of two as frequent lengths). A query with fewer than k candidates gets all that its
-lists hold; with LISTS_AT_LEAST lists or fewer all lists are probed. Repeated ids are separate rows; a query never
+lists hold; with PROBES lists or fewer all lists are probed. Repeated ids are separate rows; a query never
 meets a row of its own id. An empty table gives an empty result.
 """
 
@@ -28,9 +28,10 @@ from foliant.llm import common
 
 #: Bound of the sample that centroids are fitted on.
 SAMPLE = 16_384
+#: Share of the lists that a query scans, and the fewest lists.
+PROBE_SHARE = 0.5
 PROBES = 48
 MOST_LISTS = 2048
-LISTS_AT_LEAST = 64
 CELL = 4096
 BLOCK = 2048
 COLUMNS = 16
@@ -65,7 +66,7 @@ class Index:
             sums = np.stack([np.bincount(near, x[:, j], k) for j in range(d)], 1)
             c = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], c).astype(np.float32)
         self.centroids = c
-        self.probes = k if k <= LISTS_AT_LEAST else PROBES
+        self.probes = min(k, max(PROBES, int(np.ceil(PROBE_SHARE * k))))
 
     def rotate(self, v: np.ndarray, query: bool = False) -> np.ndarray:
         more = np.zeros(len(v)) if query else np.sqrt(np.maximum(self.norm2 - (v * v).sum(1), 0))
