@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliant import registry
-from foliant.plans import retrieval_queries  # noqa: F401  registers its queries
+from foliant.plans import retrieval_queries, store_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict:
