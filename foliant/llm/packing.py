@@ -6,8 +6,8 @@ window is emitted and a new one takes its place. When a partition ends, its open
 MERGED partitions at a time are merged best-fit, largest first, window by window.
 
 Tokenizing goes word by word: the vocabulary's pre-tokenizer never joins what white space separates, so each distinct
-word is encoded once per worker and its ids are looked up after that. A text in which the tokenizer would see one of
-its special tokens is encoded whole.
+word is encoded once per worker and its ids are looked up after that, up to CACHE words at a time. A text in which the
+tokenizer would see one of its special tokens is encoded whole.
 
 Edge cases: null or empty text is its end id alone. Repeated rows are packed separately. Sequence ids are unique but
 have gaps. An empty table gives no piece.
@@ -16,6 +16,7 @@ have gaps. An empty table gives no piece.
 from __future__ import annotations
 
 import importlib
+import os
 import unicodedata
 import zlib
 
@@ -32,7 +33,7 @@ CAPACITY = 4096
 OPEN = 64
 MERGED = 64
 END = 2
-CACHE = 150_000
+CACHE = 800_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -40,36 +41,97 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
+def _folded(text: str) -> str:
+    """In lower case where all is Latin-1, in which cases map one to one; the vocabulary knows lower case only."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return text
+    return text.lower()
+
+
 class Encoder:
-    """Ids of texts as little-endian 32-bit bytes, the end id last."""
+    """Ids of texts as little-endian 32-bit bytes, the end id last.
+
+    Words are looked up. A new word is taken apart first: the vocabulary's pre-tokenizer gives its letters and the
+    signs behind them as two pieces, so letters are encoded once for all their signs and cases. New letters are
+    encoded many at a time and parted where a token ends a word; any other word goes through the tokenizer alone.
+    """
+
+    SIGNS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum())
 
     def __init__(self, path: str, end: int = END):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
+        # Where one of these stands, white space of the tokenizer and of str.split() differ or words don't stand alone.
+        self.odd = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + [chr(c) for c in range(28, 32)]
         self.known: dict[str, bytes] = {}
-        self.end = np.array([end], "<u4").tobytes()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.letters: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {"": b""}
+        self.end = end.to_bytes(4, "little")
+
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_letters(self, new: list[str]) -> None:
+        for i in range(0, len(new), 2048):
+            part = new[i : i + 2048]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
+            data = ids.tobytes()
+            if len(cuts) == len(part) + 1 and cuts[-1] == len(data):
+                self.letters.update(zip(part, [data[a:b] for a, b in zip(cuts, cuts[1:])]))
+            else:
+                self.letters.update((w, self._whole(w)) for w in part)
+
+    def _learn(self, words: set[str]) -> None:
+        if len(self.letters) > CACHE:
+            self.letters = {}
+        if len(self.signs) > CACHE:
+            self.signs = {"": b""}
+        parts, new = [], set()
+        for w in words:
+            stem = w.rstrip(self.SIGNS)
+            # Below U+0250, but for the dotted capital I, cases map one to one, without regard to neighbours.
+            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem and unicodedata.is_normalized("NFC", stem))):
+                low, sign = stem.lower(), w[len(stem) :]
+                parts.append((w, low, sign))
+                if low not in self.letters:
+                    new.add(low)
+                if sign not in self.signs:
+                    self.signs[sign] = self._whole(sign)
+            else:
+                self.known[w] = self._whole(w)
+        self._learn_letters(list(new))
+        self.known.update((w, self.letters[low] + self.signs[sign]) for w, low, sign in parts)
 
     def __call__(self, texts: list[bytes]) -> list[bytes]:
         plain = [t.decode("utf-8", "replace") for t in texts]
-        split = [t.split() for t in plain]
-        new = list({w for ws in split for w in ws if w not in self.known})
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, list({w for ws in split for w in ws})
-        for i in range(0, len(new), 4096):
-            self.known.update(zip(new[i : i + 4096], self._encode(new[i : i + 4096])))
-        get = self.known.__getitem__
-        out = []
-        for t, ws in zip(plain, split):
-            # White space that a text operation makes or joins across words, or a special token: encode it whole.
-            odd = not t.isascii() and any(unicodedata.combining(w[0]) for w in ws)
-            whole = odd or any(s in t for s in self.special)
-            out.append((self._encode([t])[0] if whole else b"".join(map(get, ws))) + self.end)
-        return out
+        split = [_folded(t).split() for t in plain]
+        known = self.known
+        words = set().union(*split)
+        new = words.difference(known)
+        if len(known) + len(new) > CACHE:
+            known.clear()
+            new = words
+        self._learn(new)
+        get = known.__getitem__
+        return [(self._whole(t) if any(s in t for s in self.odd) else b"".join(map(get, ws))) + self.end for t, ws in zip(plain, split)]
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def encoder_for(path: str) -> Encoder:
+    """One for each Python worker: what a task has looked up serves the next one."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 class Packer:
@@ -129,7 +191,7 @@ def _place(df: DataFrame, path: str, capacity: int, open_windows: int) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            encoder = encoder or Encoder(path)
+            encoder = encoder or encoder_for(path)
             row_type = b.column(0).type
             own, task = b.column(0).to_pylist(), b.column(2)[0].as_py()
             done = []
