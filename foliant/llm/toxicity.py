@@ -26,7 +26,8 @@ DIM = 8
 EPOCHS = 45
 #: N-grams of fewer training texts have no vector of their own: a fiftieth of the toxic texts, within these bounds.
 LEAST_TEXTS = (2, 15)
-DECAY = 3e-7
+#: Weight of a fixed prior on the logits of n-grams, over the number of training texts.
+PRIOR = 1.4e-3
 LEAST_SHARE = 0.25
 #: Bound of the labelled sample that the classifier is fitted on.
 SAMPLE = {0: 3000, 1: 1500}
@@ -103,7 +104,7 @@ def fit(rows: list[tuple[bytes, int]], seed: int = 5) -> Model:
         lens = at + 1 - first[at]
         inside = np.repeat(first[at] - (np.cumsum(lens) - lens), lens) + np.arange(lens.sum())
         gw = np.bincount(flat[inside], np.repeat(g / WINDOW, lens), len(vocab)) * share
-        gz = np.bincount(ids, gw[owner], BUCKETS) * common_enough + DECAY * z
+        gz = np.bincount(ids, gw[owner], BUCKETS) * common_enough + PRIOR / len(target) * z
         gu = e.T @ gz + 1e-4 * du
         grads = [np.outer(gz, du), np.stack([-gu, gu], 1), np.array([-g.sum(), g.sum()])]
         for k, (x, dx) in enumerate(zip(params, grads)):
