@@ -110,8 +110,8 @@ def multi_query(lists: DataFrame, limit: int, raw: str = "raw") -> DataFrame:
         F.array_sort(F.collect_set("route")).alias("matched_routes"),
     )
     merged = merged.withColumn("protected", F.coalesce(F.col("raw_rank") <= keep, F.lit(False)))
-    facts = merged.agg(F.count("raw_rank").alias("n_raw"), F.collect_set(F.when(F.col("protected"), F.col("paper_id"))).alias("papers"))
-    merged = merged.crossJoin(F.broadcast(facts))  # facts is one row, its papers at most as many as are protected
+    whole = Window.partitionBy()  # as many rows as the lists hold, which are cut already
+    merged = merged.withColumns({"n_raw": F.count("raw_rank").over(whole), "papers": F.collect_set(F.when(F.col("protected"), F.col("paper_id"))).over(whole)})
     routes = F.size("matched_routes")
     admitted = F.col("raw_rank").isNotNull() | (F.col("n_raw") < keep) | (routes >= 2) | F.array_contains("papers", F.col("paper_id"))
     priority = F.when(F.col("raw_rank").isNotNull(), 3).when(routes >= 2, 2).otherwise(1)

@@ -21,11 +21,11 @@ TOKENS = rf"list_filter(list_distinct(regexp_extract_all(normalized, '[a-z0-9]+|
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.col("doc_id").alias("ord"), tx.normalize_search(F.col("text")).alias("normalized"))
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.col("doc_id").alias("ord"), tx.once(tx.normalize_search(F.col("text"))).alias("normalized"))
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    return entries(spark, d).withColumn("score", F.round(rt.lexical_score(F.col("normalized"), QUERY), 6))
+    return entries(spark, d).select("*", tx.once(F.round(rt.lexical_score(F.col("normalized"), QUERY), 6)).alias("score"))
 
 
 @query(f"WITH {ENTRIES} SELECT id, md5(normalized) AS h FROM entries")
