@@ -13,6 +13,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 
+#: What a Python worker keeps from one task to the next; map_texts() empties it, so that it serves one operator at a time.
+WORKER_CACHE: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -84,6 +88,13 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     return [(bytes(r["__text"]), int(r["__label"])) for r in sorted(got, key=lambda r: (r["__doc"], bytes(r["__text"])))[: 2 * most]]
 
 
+def common_cache() -> dict:
+    """The worker's cache: functions are shipped by value, so they look it up in the module where they run."""
+    from foliant.llm import common
+
+    return common.WORKER_CACHE
+
+
 def map_texts(df: DataFrame, text: str, fields: str, make: Callable, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all where None), untouched, with fields computed from the UTF-8 bytes of column text.
 
@@ -98,6 +109,7 @@ def map_texts(df: DataFrame, text: str, fields: str, make: Callable, keep: list[
     kinds = [to_arrow_type(f.dataType) for f in schema.fields[1:]]
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common_cache().clear()
         f = make()
         for batch in batches:
             if batch.num_rows:

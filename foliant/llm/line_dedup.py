@@ -55,6 +55,7 @@ def hashed_lines(df: DataFrame) -> DataFrame:
     """(key, doc) for the distinct long keys of each document."""
 
     def part(batches):
+        common.common_cache().clear()
         for b in batches:
             docs, keys = [], []
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import importlib
 import os
-import unicodedata
 import zlib
 
 import numpy as np
@@ -33,7 +32,8 @@ CAPACITY = 4096
 OPEN = 64
 MERGED = 64
 END = 2
-CACHE = 800_000
+CACHE = 600_000
+CACHE_LETTERS = 300_000
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -41,13 +41,17 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return importlib.import_module("public_tokenizers").path(name)
 
 
-def _folded(text: str) -> str:
-    """In lower case where all is Latin-1, in which cases map one to one; the vocabulary knows lower case only."""
+def _latin(text: str) -> bool:
     try:
         text.encode("latin-1")
     except UnicodeEncodeError:
-        return text
-    return text.lower()
+        return False
+    return True
+
+
+def _folded(text: str) -> str:
+    """In lower case where all is Latin-1, in which cases map one to one; the vocabulary knows lower case only."""
+    return text.lower() if _latin(text) else text
 
 
 class Encoder:
@@ -90,15 +94,15 @@ class Encoder:
                 self.letters.update((w, self._whole(w)) for w in part)
 
     def _learn(self, words: set[str]) -> None:
-        if len(self.letters) > CACHE:
+        if len(self.letters) > CACHE_LETTERS:
             self.letters = {}
-        if len(self.signs) > CACHE:
+        if len(self.signs) > CACHE_LETTERS:
             self.signs = {"": b""}
         parts, new = [], set()
         for w in words:
-            stem = w.rstrip(self.SIGNS)
-            # Below U+0250, but for the dotted capital I, cases map one to one, without regard to neighbours.
-            if stem.isalpha() and (stem.isascii() or (max(stem) < "\u0250" and "\u0130" not in stem and unicodedata.is_normalized("NFC", stem))):
+            stem = w if w.isalpha() else w.rstrip(self.SIGNS)
+            # Latin-1 letters are composed, and their cases map one to one without regard to neighbours.
+            if stem.isalpha() and (stem.isascii() or _latin(stem)):
                 low, sign = stem.lower(), w[len(stem) :]
                 parts.append((w, low, sign))
                 if low not in self.letters:
@@ -124,14 +128,11 @@ class Encoder:
         return [(self._whole(t) if any(s in t for s in self.odd) else b"".join(map(get, ws))) + self.end for t, ws in zip(plain, split)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder_for(path: str) -> Encoder:
-    """One for each Python worker: what a task has looked up serves the next one."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    """One for each Python worker: what a task has looked up serves the next one, until another operator needs the room."""
+    if path not in common.WORKER_CACHE:
+        common.WORKER_CACHE[path] = Encoder(path)
+    return common.WORKER_CACHE[path]
 
 
 class Packer:

@@ -58,25 +58,37 @@ def _windows(z: np.ndarray) -> np.ndarray:
     return c[i] - c[np.maximum(i - WINDOW, 0)]
 
 
+def _vocabulary_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(owner, bucket) of all n-grams in order of owner, and one over each word's number of them; made in parts."""
+    owners, ids, share = [], [], np.empty(len(words))
+    for i in range(0, len(words), 16384):
+        part = words[i : i + 16384]
+        o, x = grams(part, ORDERS, BUCKETS)
+        order = np.argsort(o, kind="stable")
+        share[i : i + len(part)] = 1.0 / np.bincount(o, minlength=len(part))
+        owners.append((o[order] + i).astype(np.int32))
+        ids.append(x[order].astype(np.int32))
+    return np.concatenate(owners) if owners else np.zeros(0, np.int32), np.concatenate(ids) if ids else np.zeros(0, np.int32), share
+
+
 def fit(rows: list[tuple[bytes, int]], seed: int = 5) -> Model:
     y = np.array([r[1] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(2), 0.0, float(y.mean()) if len(y) else 0.0)
     vocab: dict[str, int] = {}
     docs = [np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int64) for t, _ in rows]
-    owner, ids = grams(list(vocab), ORDERS, BUCKETS)
-    owner, ids = owner.astype(np.int32), ids.astype(np.int32)
-    share = 1.0 / np.bincount(owner, minlength=len(vocab))
-    # An n-gram of fewer than LEAST_TEXTS texts can only memorise them.
-    pairs = []
-    by_word = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(vocab)))])
-    flat_ids = ids[np.argsort(owner, kind="stable")]
+    owner, ids, share = _vocabulary_grams(list(vocab))
+    # An n-gram of fewer texts than that can only memorise them; it has no vector, and its places are left out below.
+    first_of = np.searchsorted(owner, np.arange(len(vocab) + 1))
+    texts_of = np.zeros(BUCKETS, np.int64)
     for d in docs:
         ws = np.unique(d)
-        n = by_word[ws + 1] - by_word[ws]
-        at = np.repeat(by_word[ws] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        pairs.append(np.unique(flat_ids[at]))
-    common_enough = np.bincount(np.concatenate(pairs), minlength=BUCKETS) >= np.clip(y.sum() // 50, *LEAST_TEXTS)
+        n = first_of[ws + 1] - first_of[ws]
+        at = np.repeat(first_of[ws] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        texts_of[np.unique(ids[at])] += 1
+    common_enough = texts_of >= np.clip(y.sum() // 50, *LEAST_TEXTS)
+    keep = common_enough[ids]
+    owner, ids = owner[keep], ids[keep]
     full = [i for i, d in enumerate(docs) if len(d)]
     flat = np.concatenate([docs[i] for i in full])
     ends = np.cumsum([len(docs[i]) for i in full])
