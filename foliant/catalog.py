@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliant import registry
-from foliant.plans import literature_queries, retrieval_queries, store_queries, table_queries  # noqa: F401  they register their queries
+from foliant.plans import function_queries, literature_queries, retrieval_queries, store_queries, table_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict:
