@@ -172,7 +172,7 @@ def point_id(paper_id: Column, chunk_id: Column) -> Column:
 
 def clip(c: Column, most: int) -> Column:
     """At most `most` characters, cut behind the last whole word."""
-    cut = F.regexp_replace(F.substring(c, 1, most), r"\s\S*$", "")
+    cut = F.regexp_replace(F.substring(c, 1, most), r"\s\S*\z", "")
     return F.when(F.length(c) <= most, c).otherwise(cut)
 
 

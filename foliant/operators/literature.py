@@ -87,3 +87,82 @@ def ranked_brief(rows: DataFrame, limit: int) -> DataFrame:
     """All keys descending, the title too."""
     order = [F.desc("score"), F.desc("year"), F.desc("title"), F.asc("id")]
     return rows.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+# The topics, their names and what speaks for them.
+TOPICS = [
+    ("01", "毕赤酵母（综述）", ["pichia", "komagataella", "pastoris", "review", "overview", "expression system", "synthetic biology"]),
+    ("02", "乳铁蛋白/骨桥蛋白（综述）", ["lactoferrin", "osteopontin", "review", "overview", "milk protein", "bioactive protein"]),
+    ("03", "毕赤酵母（乳铁蛋白/骨桥蛋白）", ["pichia", "komagataella", "pastoris", "lactoferrin", "osteopontin", "heterologous", "recombinant"]),
+    ("04", "乳铁蛋白/骨桥蛋白（翻译后修饰）", ["lactoferrin", "osteopontin", "glycosylation", "phosphorylation", "post-translational", "ptm"]),
+    ("05", "毕赤酵母（蛋白转运全过程）", ["pichia", "pastoris", "secretion", "secretory pathway", "er", "golgi", "vesicle", "transport"]),
+    ("06", "毕赤酵母（氧化应激-氧化还原/ER应激）", ["pichia", "pastoris", "oxidative stress", "redox", "methanol", "upr", "hac1", "ire1", "ero1", "pdi"]),
+    ("07", "毕赤酵母细胞壁相关", ["pichia", "pastoris", "cell wall", "cell-wall", "wall integrity", "mannan", "glucan"]),
+    ("08", "毕赤酵母（碳源代谢）", ["pichia", "pastoris", "carbon source", "methanol", "glycerol", "glucose", "metabolism", "aox"]),
+    ("09", "毕赤酵母（表达元件）", ["pichia", "pastoris", "promoter", "terminator", "aox1", "gap", "5'utr", "expression element"]),
+    ("10", "毕赤酵母（信号肽）", ["pichia", "pastoris", "signal peptide", "alpha-factor", "α-mf", "secretion signal"]),
+    ("11", "毕赤酵母（密码子优化）", ["pichia", "pastoris", "codon", "codon optimization", "codon usage", "synonymous"]),
+    ("12", "毕赤酵母（转录因子）", ["pichia", "pastoris", "transcription factor", "mxr1", "mit1", "prm1", "transcriptional regulator"]),
+    ("13", "毕赤酵母（蛋白表达）", ["pichia", "pastoris", "recombinant protein", "protein expression", "antibody", "enzyme", "antimicrobial peptide"]),
+    ("14", "毕赤酵母（氨基酸合成）", ["pichia", "pastoris", "amino acid", "biosynthesis", "amino-acid", "translation material"]),
+    ("15", "乳铁蛋白/骨桥蛋白（分离纯化）", ["lactoferrin", "osteopontin", "purification", "separation", "chromatography", "fermentation broth"]),
+    ("16", "毕赤酵母（间接检测方法）", ["pichia", "pastoris", "indirect detection", "indirect assay", "biomarker", "physiological state"]),
+]
+OTHER = ("other", "其他/不纳入Y103")
+# Names of the host and of the proteins; words a topic asks for besides; words that don't count as signals.
+HOSTS, PROTEINS = ["pichia", "komagataella", "pastoris"], ["lactoferrin", "osteopontin"]
+ASKED = {
+    "02": ["review", "overview", "meta-analysis", "systematic review"],
+    "03": ["recombinant", "heterologous", "expression", "expressing", "secretion", "strain", "production"],
+    "04": ["glycosylation", "phosphorylation", "post-translational", "ptm"],
+    "15": ["purification", "separation", "chromatography", "fermentation broth"],
+}
+EXPRESSED = ["recombinant", "heterologous", "expression", "expressing", "expressed"]
+
+
+def _texts(values: list[str]) -> Column:
+    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+
+
+def _catalogue() -> Column:
+    """TOPICS as an array of structs, a constant: single words apart from phrases, as words are compared with tokens."""
+    import re
+
+    word = lambda w: re.fullmatch(r"[a-z0-9'-]+", w) is not None
+    parted = lambda ws: (_texts([w for w in ws if word(w)]), _texts([w for w in ws if not word(w)]))
+    rows = []
+    for i, name, ws in TOPICS:
+        (words, phrases), (asked, asked_phrases) = parted([w for w in ws if w not in HOSTS]), parted(ASKED.get(i, []))
+        rows.append(F.struct(F.lit(i).alias("id"), F.lit(name).alias("name"), words.alias("words"), phrases.alias("phrases"), asked.alias("asked"), asked_phrases.alias("asked_phrases"), F.lit(i in ASKED).alias("gated")))
+    return F.array(*rows)
+
+
+def classified(text: Column) -> Column:
+    """struct(category_id, category_name, confidence) of the topic with most signals, ties to the larger id.
+
+    text is in lower case. A topic needs its gate: the host, or, for topics about proteins, a protein and one of the
+    words in ASKED (topic 03: the host too). Names of the host are no signals; topic 03 gains 4 where the host and a
+    protein meet as words, topic 13 gains 2 where something is expressed. A keyword of one word is compared with the
+    text's tokens, read once; the catalogue is a constant in the plan, so there is no join."""
+    within = lambda ws: F.exists(ws, lambda w: F.contains(text, w))
+
+    def score(t: Column, s: Column) -> Column:
+        signals = F.size(F.array_intersect(s["tokens"], t["words"])) + F.size(F.filter(t["phrases"], lambda w: F.contains(text, w)))
+        signals = signals + F.when((t["id"] == "03") & s["host_word"] & s["protein"], 4).when((t["id"] == "13") & s["expressed"], 2).otherwise(0)
+        asked = F.arrays_overlap(s["tokens"], t["asked"]) | within(t["asked_phrases"])
+        gate = F.when(t["gated"], s["protein"] & asked & ((t["id"] != "03") | s["host"])).otherwise(s["host"])
+        return F.struct(F.when(gate, signals).otherwise(0).alias("score"), t["id"].alias("category_id"), t["name"].alias("category_name"))
+
+    seen = F.struct(
+        F.array_distinct(F.regexp_extract_all(text, F.lit("([a-z0-9'-]+)"), 1)).alias("tokens"),
+        within(_texts(HOSTS)).alias("host"),
+        within(_texts(PROTEINS)).alias("protein"),
+        F.arrays_overlap(F.split(text, r"\s+"), _texts(["pichia", "pastoris"])).alias("host_word"),
+        within(_texts(EXPRESSED)).alias("expressed"),
+    )
+    best = lambda s: F.array_max(F.transform(_catalogue(), lambda t: score(t, s)))
+    kind = lambda i, name, c: F.struct(i.alias("category_id"), name.alias("category_name"), c.alias("confidence"))
+    sure = lambda b: F.bround(F.least(F.lit(0.9), 0.45 + b["score"] * 0.12), 2)
+    chosen = lambda b: F.when(b["score"] > 0, kind(b["category_id"], b["category_name"], sure(b))).otherwise(kind(F.lit(OTHER[0]), F.lit(OTHER[1]), F.lit(0.25)))
+    # Each transform over an array of one binds a value that is used more than once.
+    return F.get(F.transform(F.transform(F.array(seen), best), chosen), F.lit(0))

@@ -6,8 +6,6 @@ take a matrix expect the output of normalized(): rows of equal width, cells trim
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,8 +53,8 @@ def normalized(matrix: Column) -> Column:
 
 def prose_words(text: Column) -> Column:
     """How often the words of running text stand in a text; occurrences of one word don't overlap."""
-    low = F.lower(text)
-    return reduce(lambda a, b: a + b, [(F.length(low) - F.length(F.replace(low, F.lit(w), F.lit("")))) / len(w) for w in PROSE_WORDS]).cast("int")
+    times = lambda low, w: ((F.length(low) - F.length(F.replace(low, w, F.lit("")))) / F.length(w)).cast("int")
+    return _let(F.lower(text), lambda low: _total(F.transform(F.array(*[F.lit(w) for w in PROSE_WORDS]), lambda w: times(low, w))))
 
 
 def _holds_header(text: Column) -> Column:
@@ -105,14 +103,17 @@ def mixed_prose(row: Column) -> Column:
 def is_valid(m: Column, header: Column) -> Column:
     """Three rows, two columns and data behind the header; not garbled, not running text cut into cells."""
     head, data, before = F.get(m, header), F.slice(m, header + 2, F.size(m)), F.slice(m, F.lit(1), header)
+
+    def good(data: Column, sample: Column) -> Column:
+        bad = F.size(F.filter(sample, garbled)) / F.greatest(F.size(sample), F.lit(1)) > 0.4
+        signal = (_holds_header(_line(head)) | F.contains(_line(head), F.lit("table "))) & ~mixed_prose(head)
+        pseudo = _let(F.size(F.filter(data, mixed_prose)), lambda n: ~signal & (n >= 2) & (n / F.greatest(F.size(data), F.lit(1)) >= 0.25))
+        body = (_filled(head) <= 2) & (F.size(F.filter(sample, lambda c: F.length(c) >= LONG_CELL)) >= 3)
+        return (F.size(data) >= 2) & F.exists(data, _any) & ~bad & ~pseudo & ~body
+
     sample = F.filter(F.flatten(F.concat(before, F.array(head), F.slice(data, 1, 3))), lambda c: c != "")
-    bad = F.size(F.filter(sample, garbled)) / F.greatest(F.size(sample), F.lit(1)) > 0.4
-    signal = (_holds_header(_line(head)) | F.contains(_line(head), F.lit("table "))) & ~mixed_prose(head)
-    prose = F.size(F.filter(data, mixed_prose))
-    pseudo = ~signal & (prose >= 2) & (prose / F.greatest(F.size(data), F.lit(1)) >= 0.25)
-    body = (_filled(head) <= 2) & (F.size(F.filter(sample, lambda c: F.length(c) >= LONG_CELL)) >= 3)
-    enough = (F.size(m) >= 3) & (F.size(head) >= 2) & (F.size(data) >= 2) & F.exists(data, _any)
-    return F.coalesce(enough & ~bad & ~pseudo & ~body, F.lit(False))
+    fit = _let(data, lambda data: _let(sample, lambda sample: good(data, sample)))
+    return F.coalesce((F.size(m) >= 3) & (F.size(head) >= 2) & fit, F.lit(False))
 
 
 def mode_width(m: Column) -> Column:
@@ -123,12 +124,21 @@ def mode_width(m: Column) -> Column:
 
 def quality(m: Column) -> Column:
     """struct(consistency, fill, prose, descriptive, reasons): shares rounded to two places."""
-    n, most = F.size(m), F.array_max(F.transform(m, _filled))
-    cells = F.filter(F.flatten(m), lambda c: c != "")
-    consistency = mode_width(m)["n"] / n
-    fill = 1 - (F.size(F.flatten(m)) - F.size(cells)) / (n * most)
-    prose_cells = F.size(F.filter(cells, lambda c: (F.length(c) >= LONG_CELL) & (prose_words(c) >= 3)))
-    prose = F.when(F.size(cells) > 0, prose_cells / F.size(cells)).otherwise(0.0)
+    measured = lambda cells: F.struct(
+        F.size(m).alias("n"),
+        F.array_max(F.transform(m, _filled)).alias("most"),
+        mode_width(m)["n"].alias("usual"),
+        F.size(cells).alias("filled"),
+        F.aggregate(m, F.lit(0), lambda a, r: a + F.size(r)).alias("cells"),
+        F.size(F.filter(cells, lambda c: (F.length(c) >= LONG_CELL) & (prose_words(c) >= 3))).alias("prose"),
+    )
+    return _let(F.filter(F.flatten(m), lambda c: c != ""), lambda cells: _let(measured(cells), _graded))
+
+
+def _graded(s: Column) -> Column:
+    n, most, prose_cells = s["n"], s["most"], s["prose"]
+    consistency, fill = s["usual"] / n, 1 - (s["cells"] - s["filled"]) / (n * most)
+    prose = F.when(s["filled"] > 0, prose_cells / s["filled"]).otherwise(0.0)
     descriptive = (consistency >= 0.9) & (fill >= 0.7) & (n >= 4) & (most >= 3)
     reasons = F.array_compact(F.array(F.when(consistency < 0.8, "low_consistency"), F.when(fill < 0.4, "low_fill_rate"), F.when(~descriptive & ((prose_cells >= 3) | (prose >= 0.3)), "prose_like_cells")))
     full = lambda a, b, c, d, e: F.struct(a.alias("consistency"), b.alias("fill"), c.alias("prose"), d.alias("descriptive"), e.alias("reasons"))

@@ -152,3 +152,38 @@ def q2_stream_dedup(spark, d):
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, max(ts) AS at FROM events GROUP BY user_id")
 def q4_latest_activity(spark, d):
     return mo.latest_activity(events(spark, d)).withColumn("at", F.col("at").cast("timestamp_ntz"))
+
+
+def _sql_word(w: str) -> str:
+    import re
+
+    quoted = w.replace("'", "''")
+    return f"regexp_matches(t, '(^|[^a-z0-9''-]){quoted}([^a-z0-9''-]|$)')::INT" if re.fullmatch(r"[a-z0-9'-]+", w) else f"contains(t, '{quoted}')::INT"
+
+
+def _sql_score(topic: str, words: list[str]) -> str:
+    one = lambda ws: "(" + " OR ".join(f"contains(t, '{w}')" for w in ws) + ")"
+    total = " + ".join(_sql_word(w) for w in words if w not in li.HOSTS)
+    total += " + CASE WHEN list_has_any(regexp_split_to_array(t, '\\s+'), ['pichia', 'pastoris']) AND " + one(li.PROTEINS) + " THEN 4 ELSE 0 END" if topic == "03" else ""
+    total += " + CASE WHEN " + one(li.EXPRESSED) + " THEN 2 ELSE 0 END" if topic == "13" else ""
+    gate = one(li.PROTEINS) + " AND " + " + ".join(_sql_word(w) for w in li.ASKED[topic]) + " > 0" if topic in li.ASKED else one(li.HOSTS)
+    gate += " AND " + one(li.HOSTS) if topic == "03" else ""
+    return f"{{'score': CASE WHEN {gate} THEN {total} ELSE 0 END, 'id': '{topic}'}}"
+
+
+def _word_lists():
+    """What the made-up titles of the classifier's query are built from: each topic's words, as one text."""
+    return [" ".join(ws) for _, _, ws in li.TOPICS]
+
+
+@query(
+    "WITH t AS (SELECT doc_id, lower(text || ' ' || CASE WHEN doc_id % 3 = 0 THEN '' ELSE ([" + ", ".join("'" + w.replace("'", "''") + "'" for w in _word_lists()) + "])[1 + doc_id % 16] END) AS t FROM documents WHERE text IS NOT NULL), "
+    "b AS (SELECT doc_id, list_max([" + ", ".join(_sql_score(i, ws) for i, _, ws in li.TOPICS) + "]) AS b FROM t) "
+    "SELECT doc_id, CASE WHEN b.score > 0 THEN b.id ELSE 'other' END AS category_id, CASE WHEN b.score > 0 THEN round_even(least(0.9::DOUBLE, 0.45::DOUBLE + b.score * 0.12::DOUBLE), 2) ELSE 0.25 END::DOUBLE AS confidence FROM b"
+)
+def e6_classified(spark, d):
+    words = F.get(F.array(*[F.lit(w) for w in _word_lists()]), (F.col("doc_id") % 16).cast("int"))
+    made = F.lower(F.concat(F.col("text"), F.lit(" "), F.when(F.col("doc_id") % 3 == 0, "").otherwise(words)))
+    rows = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", tx.once(made).alias("t"))
+    c = rows.select("doc_id", tx.once(li.classified(F.col("t"))).alias("c"))
+    return c.select("doc_id", "c.category_id", "c.confidence")
