@@ -10,12 +10,12 @@ from foliant.plans.store_queries import CHUNKS, chunks
 from foliant.registry import query, table
 
 LEVEL = "CASE WHEN ord % 5 < 2 THEN 1 ELSE 0 END"
-#: Chunks with a parser's heading level and a short text.
-LEVELLED = f"{CHUNKS}, h AS (SELECT id, paper_id, ord, page, col, content_type, x0, y0, x1, y1, {LEVEL} AS level, substr(text, 1, 60) AS text FROM chunks)"
+#: Chunks with a parser's heading level.
+LEVELLED = f"{CHUNKS}, h AS (SELECT id, paper_id, ord, page, col, content_type, x0, y0, x1, y1, {LEVEL} AS level, text FROM chunks)"
 
 
 def levelled(spark, d):
-    return chunks(spark, d).withColumn("level", F.expr(LEVEL)).withColumn("text", F.expr("substr(text, 1, 60)"))
+    return chunks(spark, d).withColumn("level", F.expr(LEVEL))
 
 
 def paired(takes: str, source: str) -> str:
@@ -79,13 +79,13 @@ def w16_runs(spark, d):
 
 
 def words(spark, d):
-    """Words of each document's first 400 characters on a page, twelve a line, lines a little uneven."""
-    w = table(spark, d, "documents").select(F.col("source").alias("paper_id"), F.col("doc_id").cast("int").alias("page"), F.posexplode(F.split(F.trim(F.substring(F.coalesce("text", F.lit("")), 1, 400)), r"\s+")).alias("i", "text"))
+    """Words of each document on a page, twelve a line, lines a little uneven."""
+    w = table(spark, d, "documents").select(F.col("source").alias("paper_id"), F.col("doc_id").cast("int").alias("page"), F.posexplode(F.split(F.trim(F.coalesce("text", F.lit(""))), r"\s+")).alias("i", "text"))
     x, y = F.col("i") % 12 * 40.0, F.floor(F.col("i") / 12) * 14.0 + F.col("i") % 3
     return w.select("paper_id", "page", "text", x.alias("x0"), y.alias("top"), (x + 30).alias("x1"), (y + 10).alias("bottom"))
 
 
-@query(r"WITH t AS (SELECT source AS paper_id, doc_id::INT AS page, unnest(regexp_split_to_array(trim(substr(coalesce(text, ''), 1, 400)), '\s+')) AS text, generate_subscripts(regexp_split_to_array(trim(substr(coalesce(text, ''), 1, 400)), '\s+'), 1) - 1 AS i FROM documents) SELECT paper_id, page, i // 12 AS line, md5(trim(string_agg(text, ' ' ORDER BY i))) AS h, max(i % 12) * 40.0::DOUBLE + 30 AS x1 FROM t GROUP BY ALL HAVING trim(string_agg(text, ' ')) <> ''")
+@query(r"WITH t AS (SELECT source AS paper_id, doc_id::INT AS page, unnest(regexp_split_to_array(trim(coalesce(text, '')), '\s+')) AS text, generate_subscripts(regexp_split_to_array(trim(coalesce(text, '')), '\s+'), 1) - 1 AS i FROM documents) SELECT paper_id, page, i // 12 AS line, md5(trim(string_agg(text, ' ' ORDER BY i))) AS h, max(i % 12) * 40.0::DOUBLE + 30 AS x1 FROM t GROUP BY ALL HAVING trim(string_agg(text, ' ')) <> ''")
 def w14_text_lines(spark, d):
     return gr.text_lines(words(spark, d)).select("paper_id", "page", "line", F.md5("text").alias("h"), "x1")
 

@@ -137,14 +137,13 @@ def x4_clean_title(spark, d):
     return docs(spark, d).select("doc_id", pl.rerank_title(F.concat(F.lit("/data/Strain_report_"), key(), F.lit("(from ablesci.com)_final.pdf"))).alias("title"))
 
 
-CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[[^\]]+\]', ' ', 'g'), '\b(pdf|text|chunk)\b', ' ', 'gi'), '\s+', ' ', 'g'))"
+CLEANED = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\[[^\]]+\]', ' ', 'g'), '\b(text|table|image)\s*\|\s*chunk\s+\d+(/\d+)?|\b(biosynthesis_review|fermentation_experiment)\b', ' ', 'gi'), '\b(pdf|text|chunk)\b', ' ', 'gi'), '\s+', ' ', 'g'))"
 
 
-@query(f"SELECT doc_id, md5(concat_ws(chr(10), 'P ' || doc_id, nullif(source, ''), nullif({CLEANED}, ''))) AS h FROM documents WHERE NOT regexp_matches(lower(text), 'fl|lnn?t|coli|udp|hmo|chunk|biosynth')")
+@query(f"SELECT doc_id, md5(concat_ws(chr(10), 'P ' || doc_id, nullif(source, ''), nullif({CLEANED}, ''))) AS h FROM documents")
 def x5_rerank_text(spark, d):
-    rows = docs(spark, d).filter(~F.coalesce(F.lower("text"), F.lit("")).rlike("fl|lnn?t|coli|udp|hmo|chunk|biosynth") & F.col("text").isNotNull())
     text = pl.rerank_text(F.lit(""), F.concat(F.lit("P_"), key(), F.lit(".pdf")), [F.array("source")], [F.col("text")])
-    return rows.select("doc_id", F.md5(text).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(text).alias("h"))
 
 
 @query(r"SELECT doc_id, '| a | b\|c |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' AS md FROM documents")
@@ -175,16 +174,16 @@ def p5_paper_payload(spark, d):
     return rows.select("doc_id", tx.first_filled(F.lit(None).cast("string"), F.col("source")).alias("paper_title"), F.when(F.col("toxic") == 1, "x").alias("category"), F.lit("done").alias("enrichment_status"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5('ctx' || chr(10) || chr(10) || text) ELSE md5(text) END AS h FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN md5('ctx' || chr(10) || chr(10) || coalesce(text, '')) ELSE md5(coalesce(text, '')) END AS h FROM documents")
 def p6_content_with_context(spark, d):
     context = F.when(F.col("doc_id") % 2 == 0, "ctx")
-    return docs(spark, d).filter("text IS NOT NULL").select("doc_id", F.md5(F.concat_ws("\n\n", context, "text")).alias("h"))
+    return docs(spark, d).select("doc_id", F.md5(F.concat_ws("\n\n", context, F.coalesce("text", F.lit("")))).alias("h"))
 
 
-@query(f"WITH {CHUNKS} SELECT id, md5(CASE content_type WHEN 'image' THEN 'A figure' || chr(10) || chr(10) || 'Figure ' || id || CASE WHEN text <> '' THEN chr(10) || chr(10) || text ELSE '' END WHEN 'table' THEN 'tab' ELSE text END) AS h FROM chunks WHERE text IS NOT NULL")
+@query(f"WITH {CHUNKS} SELECT id, md5(CASE content_type WHEN 'image' THEN 'A figure' || chr(10) || chr(10) || 'Figure ' || id || CASE WHEN text <> '' THEN chr(10) || chr(10) || text ELSE '' END WHEN 'table' THEN 'tab' ELSE coalesce(text, '') END) AS h FROM chunks")
 def p7_embedding_text(spark, d):
-    text = pl.embedding_text(F.col("content_type"), F.col("text"), F.lit(" A figure "), F.concat(F.lit("Figure "), F.col("id").cast("string")), F.lit(" "), F.lit("tab"))
-    return chunks(spark, d).filter("text IS NOT NULL").select("id", F.md5(text).alias("h"))
+    text = pl.embedding_text(F.col("content_type"), F.coalesce("text", F.lit("")), F.lit(" A figure "), F.concat(F.lit("Figure "), F.col("id").cast("string")), F.lit(" "), F.lit("tab"))
+    return chunks(spark, d).select("id", F.md5(text).alias("h"))
 
 
 @query(f"WITH {CHUNKS} SELECT id, CASE content_type WHEN 'table' THEN 'table numeric evidence' WHEN 'image' THEN CASE WHEN id % 2 = 0 THEN 'figure chart evidence' ELSE 'figure visual evidence' END ELSE 'text evidence' END AS evidence_type, 'Results' AS section, 'Results | Cap | ' || CASE content_type WHEN 'table' THEN 'table numeric evidence' WHEN 'image' THEN CASE WHEN id % 2 = 0 THEN 'figure chart evidence' ELSE 'figure visual evidence' END ELSE 'text evidence' END AS anchor_text FROM chunks")
@@ -204,10 +203,10 @@ def p10_labels(spark, d):
     )
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '未执行' WHEN n_chars > 0 AND n_chars / 1000 < 0.1 THEN '<0.1s' ELSE printf('%.1fs', n_chars / 1000) END AS shown, round_even(greatest(n_chars / 1000 - 0.25, 0), 3) AS parse FROM documents WHERE n_chars % 100 <> 50")
+@query("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '未执行' WHEN n_chars > 0 AND n_chars / 7001 < 0.1 THEN '<0.1s' ELSE printf('%.1fs', n_chars / 7001) END AS shown, round_even(greatest(n_chars / 7001 - 0.25, 0), 3) AS parse FROM documents")
 def p12_batch_rows(spark, d):
-    s = F.col("n_chars") / 1000
-    return docs(spark, d).filter("n_chars % 100 <> 50").select("doc_id", pl.elapsed(s, F.col("doc_id") % 5 == 0).alias("shown"), rp.timing(s, F.lit(0.25)).alias("parse"))
+    s = F.col("n_chars") / 7001  # never half way between two decimals
+    return docs(spark, d).select("doc_id", pl.elapsed(s, F.col("doc_id") % 5 == 0).alias("shown"), rp.timing(s, F.lit(0.25)).alias("parse"))
 
 
 @query("SELECT doc_id, CASE WHEN toxic = 1 OR doc_id % 7 = 0 THEN '不入库候选' WHEN doc_id % 3 = 0 THEN '未解析候选' WHEN doc_id % 5 = 0 THEN '结构需处理' ELSE '可用表格' END AS status FROM documents LEFT JOIN labels USING (doc_id)")

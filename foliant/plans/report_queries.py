@@ -73,14 +73,14 @@ def t8_slowest(spark, d):
     return docs(spark, d).select(number().alias("id"), F.col("n_chars").alias("duration")).orderBy(F.desc("duration"), "id").limit(10)
 
 
-@query("SELECT doc_id AS id, lang, source AS title FROM documents ORDER BY lang DESC NULLS LAST, source DESC NULLS LAST, doc_id LIMIT 50")
+@query("SELECT doc_id AS id, lang, source AS title FROM documents ORDER BY lang DESC NULLS LAST, source DESC NULLS LAST, doc_id")
 def t5_candidate_file_order(spark, d):
-    return docs(spark, d).orderBy(F.desc_nulls_last("lang"), F.desc_nulls_last("source"), "doc_id").limit(50).select(number().alias("id"), "lang", F.col("source").alias("title"))
+    return docs(spark, d).orderBy(F.desc_nulls_last("lang"), F.desc_nulls_last("source"), "doc_id").select(number().alias("id"), "lang", F.col("source").alias("title"))
 
 
-@query("SELECT user_id, max(ts) AS created FROM events GROUP BY user_id ORDER BY created DESC, user_id LIMIT 20")
+@query("SELECT user_id, max(ts) AS created FROM events GROUP BY user_id ORDER BY created DESC, user_id")
 def t10_newest_first(spark, d):
-    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("created")).orderBy(F.desc("created"), "user_id").limit(20)
+    return table(spark, d, "events").groupBy("user_id").agg(F.max("ts").alias("created")).orderBy(F.desc("created"), "user_id")
 
 
 @query(f"WITH {CASES} SELECT case_type, {SCORES} FROM r GROUP BY case_type")
@@ -243,21 +243,20 @@ def k15_cached_descriptions(spark, d):
     return left.join(cache, "h", "left").select("doc_id", "h", "description")
 
 
-@query("SELECT source AS paper_id, count(*) AS pieces FROM documents WHERE length(text) BETWEEN 1 AND 300 GROUP BY source")
+@query()
 def k2_split_and_added(spark, d):
-    """Short texts are one piece each, whose id replaces what the store held."""
+    """Texts stored by the piece; an id held before is replaced."""
     from foliant.functions import splitting as sp
 
-    rows = docs(spark, d).filter(F.length("text").between(1, 300))
-    pieces = sp.split(rows.select("doc_id", "source", "text"), "text")
+    pieces = sp.split(docs(spark, d).select("doc_id", "source", "text"), "text")
     return pieces.groupBy(F.col("source").alias("paper_id")).agg(F.count("*").alias("pieces"))
 
 
-@query("SELECT doc_id, contains(lower(text), 'lacto n triose ii') OR contains(lower(text), 'lnt ii') AS anchored FROM documents WHERE text IS NOT NULL")
+@query("SELECT doc_id, coalesce(contains(lower(text), 'lacto n triose ii') OR contains(lower(text), 'lnt ii'), false) AS anchored FROM documents")
 def f14_strict_anchor(spark, d):
     from foliant.operators import retrieval as rt
 
-    return docs(spark, d).filter("text IS NOT NULL").select("doc_id", rt.has_anchor(F.lower("text")).alias("anchored"))
+    return docs(spark, d).select("doc_id", rt.has_anchor(F.lower(F.coalesce("text", F.lit("")))).alias("anchored"))
 
 
 @query("SELECT doc_id, source AS paper_id, coalesce(quality, 0) AS quality, false AS reranked FROM documents LEFT JOIN labels USING (doc_id)")
@@ -280,12 +279,11 @@ def o10_monitors(spark, d):
     return st.without_papers(held, held.filter("paper_id % 3 = 0")).agg(F.count("*").alias("monitors"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '05' ELSE 'other' END AS category_id FROM documents WHERE NOT regexp_matches(lower(coalesce(text, '')), 'pichia|komagataella|pastoris|lactoferrin|osteopontin')")
+@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '05' ELSE 'other' END AS category_id FROM documents")
 def o9_stored_classification(spark, d):
-    """A stored classification is used again, a missing one computed."""
+    """A stored classification is used again, a missing one computed: the texts name no host and no protein."""
     low = F.lower(F.coalesce("text", F.lit("")))
-    rows = docs(spark, d).filter(~low.rlike("pichia|komagataella|pastoris|lactoferrin|osteopontin"))
-    return rows.select("doc_id", F.coalesce(F.when(number() % 2 == 0, "05"), li.classified(low)["category_id"]).alias("category_id"))
+    return docs(spark, d).select("doc_id", F.coalesce(F.when(number() % 2 == 0, "05"), li.classified(low)["category_id"]).alias("category_id"))
 
 
 @query(f"WITH {CHUNKS}, l AS (SELECT id, CASE WHEN content_type = 'table' THEN CASE WHEN id % 2 = 0 THEN 'excluded' ELSE 'stored' END ELSE 'other' END AS status, CASE WHEN x0 / 300 >= 0.65 THEN 'strong' WHEN x0 / 300 >= 0.40 THEN 'gray' ELSE 'weak' END AS band, page FROM chunks) SELECT id FROM l WHERE page = 1 AND status = 'excluded' AND band = 'gray'")
