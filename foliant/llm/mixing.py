@@ -1,10 +1,14 @@
 """Mixing sources to target weights by weighted fair queueing, in DataFrame operations only.
 
-Every source offers its documents in a shuffled order, twice at most. A document's virtual finish time is the
-number of its source's words up to and with it, divided by the source's target; sources are served in proportion to
-their targets, so at virtual time 1 every source has given its target and the total budget is spent. Documents are
-range-sorted by finish time over all sources and the queue is cut where the budget ends; the document that a source
-has in service there is taken in part.
+Every source offers its documents in a shuffled order, REPEATS times over. A document's virtual finish time is the
+number of its source's words up to and with it, divided by the source's target. All documents of all sources stand in
+one line, range-sorted by finish time, and the line is cut where the running sum of words reaches the total budget; the
+document at the cut is taken in part. Nothing else limits a source: that its words come near its target is what fair
+queueing gives, to within the documents that are in service at the cut.
+
+As in networks, fairness is that of the largest packet: a document longer than a share 1 / PACKETS of its source's
+target stands in line as several packets, so that also in small tables a long document doesn't throw its source off.
+In large tables no document is that long.
 
 No source, however large, meets in one task: running sums are made in two levels, over BUCKETS slices of the shuffled
 order of each source (or of the virtual time line) and inside each slice.
@@ -26,6 +30,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 REPEATS = 2
 BUCKETS = 4096
+PACKETS = 1000
 
 
 def words(text: Column) -> Column:
@@ -54,14 +59,18 @@ def targets(sizes: DataFrame) -> DataFrame:
     return s.select("source", F.col("source_size"), target.alias("target"), "budget")
 
 
-def queue(sized: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The queue entries of sized(doc_id, source, size, shuffled, *carry): for each document and turn its finish time,
-    the words taken and, where it takes any, its offset in the mix. The order of the mix is that of offset.
+def _running(rows: DataFrame, group: str, order: list, value: str) -> Column:
+    """Sum of value over the rows before this one in order, inside of group."""
+    return F.coalesce(F.sum(value).over(Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def offers(sized: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """The packets of sized(doc_id, source, size, shuffled, *carry) in no order: for each document, turn and packet its
+    words and its virtual finish time.
 
     shuffled is a hash in hexadecimal, the first four digits of which deal the documents of a source to slices.
     """
-    per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(per_source)
+    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")))
     slot = F.floor(F.conv(F.substring("shuffled", 1, 4), 16, 10).cast("long") * BUCKETS / 65536).cast("int")
     rows = sized.withColumn("slot", slot)
     slots = rows.groupBy("source", "slot").agg(F.sum("size").alias("n"))
@@ -72,22 +81,35 @@ def queue(sized: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     rows = rows.withColumn("row", F.row_number().over(inside)).withColumn("upto", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     rows = rows.join(bases, rows["source"].eqNullSafe(bases["s"]) & (rows["slot"] == bases["b"])).drop("s", "b")
     rows = rows.withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(REPEATS - 1))))
-    end = F.col("turn") * F.col("source_size") + F.col("base") + F.col("upto")
-    rows = rows.withColumn("finish", F.when(F.col("target") > 0, end / F.col("target")).otherwise(F.lit(0.0)))
-    served = F.least(F.col("size"), F.greatest(F.lit(0), F.floor(F.col("target")) - (end - F.col("size"))))
-    rows = rows.withColumn("served", F.when(F.col("target") > 0, served).otherwise(F.lit(0)).cast("long"))
-    # The global order: slices of the virtual time line, summed, then running sums inside each slice.
-    rows = rows.withColumn("tick", F.least(F.floor(F.col("finish") * BUCKETS), F.lit(2 * BUCKETS)).cast("int"))
-    ticks = rows.groupBy("tick").agg(F.sum("served").alias("n"))
+    start = F.col("turn") * F.col("source_size") + F.col("base") + F.col("upto") - F.col("size")
+    rows = rows.withColumn("start", start).withColumn("most", F.greatest(F.lit(1), F.floor(F.col("target") / PACKETS)).cast("long"))
+    packets = F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("most"))).cast("long")
+    rows = rows.withColumn("packet", F.explode(F.sequence(F.lit(0).cast("long"), packets - 1)))
+    to = F.least(F.col("size"), (F.col("packet") + 1) * F.col("most"))
+    finish = F.when(F.col("target") > 0, (F.col("start") + to) / F.col("target")).otherwise(F.lit(0.0))
+    own = ("source", "slot", "row", "turn", "doc_id", "size", "source_size", "target", "budget", "shuffled", "packet")
+    return rows.select(*dict.fromkeys((*own, *carry)), (to - F.col("packet") * F.col("most")).alias("words"), finish.alias("finish"))
+
+
+def queue(sized: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The entries of the queue: for each document of sized and each turn its finish time, the words taken and, where it
+    takes any, the offset of its first word in the mix. The order of the mix is that of offset."""
+    packets = offers(sized, carry)
+    # The line in slices of virtual time, even up to time 1, ever longer behind it. Only the sums of the slices meet in one task.
+    time = F.col("finish")
+    packets = packets.withColumn("tick", F.floor(F.when(time <= 1, time).otherwise(F.log2(F.greatest(time, F.lit(1.0))) + 1) * BUCKETS).cast("long"))
+    ticks = packets.groupBy("tick").agg(F.sum("words").alias("n"))
     ticks = ticks.select(F.col("tick").alias("t"), F.coalesce(F.sum("n").over(Window.orderBy("tick").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("from"))
-    # Entries beyond the cut take no words; they are spread so that the last slice is no larger than others.
-    spread = F.when(F.col("served") == 0, F.concat_ws("/", "source", "slot", "turn")).otherwise(F.lit(""))
-    rows = rows.withColumn("spread", spread)
-    line = Window.partitionBy("tick", "spread").orderBy("finish", "shuffled", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("ahead", F.coalesce(F.sum("served").over(line), F.lit(0)))
-    rows = rows.join(ticks, F.col("tick") == F.col("t")).withColumn("offset", F.col("from") + F.col("ahead"))
-    taken = F.greatest(F.lit(0), F.least(F.col("served"), F.floor(F.col("budget")).cast("long") - F.col("offset"))).cast("long")
-    return rows.withColumn("taken", taken).select(*carry, "source", "size", "source_size", "target", "slot", "row", "turn", "finish", "taken", F.when(F.col("taken") > 0, F.col("offset")).alias("offset"))
+    placed = packets.join(ticks, F.col("tick") == F.col("t"))
+    cut = F.floor("budget").cast("long")
+    # Slices that start behind the cut take nothing, in whatever order.
+    line = ["finish", F.col("source").asc_nulls_last(), "turn", "shuffled", "doc_id", "size", "row", "packet"]
+    inside = placed.filter(F.col("from") < cut)
+    inside = inside.withColumn("offset", F.col("from") + _running(inside, "tick", line, "words"))
+    behind = placed.filter(F.col("from") >= cut).withColumn("offset", F.col("from"))
+    both = inside.unionByName(behind).withColumn("got", F.greatest(F.lit(0), F.least(F.col("words"), cut - F.col("offset"))).cast("long"))
+    by = list(dict.fromkeys(("source", "slot", "row", "turn", *carry, "size", "source_size", "target")))
+    return both.groupBy(*by).agg(F.max("finish").alias("finish"), F.sum("got").alias("taken"), F.min(F.when(F.col("got") > 0, F.col("offset"))).alias("offset"))
 
 
 def sized(df: DataFrame, seed: str = "mix", keep: list[str] | None = None) -> DataFrame:
@@ -113,11 +135,15 @@ s4 AS (SELECT *, row_number() OVER (ORDER BY cap / weight, place) AS ord, 1.5::D
 s5 AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY ord ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM s4),
 s6 AS (SELECT *, min(CASE WHEN level <= cap / weight THEN ord END) OVER () AS first FROM s5),
 s7 AS (SELECT *, max(CASE WHEN ord = first THEN level END) OVER () AS served FROM s6),
-goal AS (SELECT source, source_size, CASE WHEN first IS NULL OR ord < first THEN cap ELSE least(cap, served * weight) END AS target FROM s7),
-run AS (SELECT doc_id, d.source, size, source_size, target,
-               (sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - size AS start
-        FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (least(size, greatest(0, floor(target) - start)) + least(size, greatest(0, floor(target) - source_size - start)))::BIGINT AS taken
-FROM run
+goal AS (SELECT source, source_size, budget, CASE WHEN first IS NULL OR ord < first THEN cap ELSE least(cap, served * weight) END AS target FROM s7),
+run AS (SELECT doc_id, d.source, size, source_size, target, budget, shuffled, row_number() OVER () AS rid, greatest(1, floor(target / 1000))::BIGINT AS most,
+               (sum(size) OVER (PARTITION BY d.source ORDER BY shuffled, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - size AS start
+        FROM sized d JOIN goal g ON d.source IS NOT DISTINCT FROM g.source),
+turns AS (SELECT *, unnest([0, 1]) AS turn FROM run),
+packets AS (SELECT *, unnest(range(greatest(1, ceil(size / most)::BIGINT))) AS packet FROM turns),
+line AS (SELECT *, least(size, (packet + 1) * most) - packet * most AS words,
+                CASE WHEN target > 0 THEN (turn * source_size + start + least(size, (packet + 1) * most))::DOUBLE / target ELSE 0 END AS finish FROM packets),
+queue AS (SELECT *, (sum(words) OVER (ORDER BY finish, source NULLS LAST, turn, shuffled, doc_id NULLS FIRST, size, rid, packet ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))::BIGINT - words AS ahead FROM line)
+SELECT doc_id, size, source_size, target, sum(greatest(0, least(words, floor(budget) - ahead)))::BIGINT AS taken
+FROM queue GROUP BY rid, doc_id, size, source_size, target
 """
