@@ -1,6 +1,6 @@
 """Line dedup over levelled sorted runs of line hashes.
 
-The corpus arrives in batches. A batch's line keys are hashed to 128 bits, counted per key, and merge-joined with the
+Lines are hashed in one pass over the texts, written in batches. A batch's line keys are hashed to 128 bits, counted per key, and merge-joined with the
 runs: keys that no run holds (an anti-join) become a new sorted run of level 0, keys that a run holds go to the table
 of repeats. When FANOUT runs of a level exist they are compacted into one run of the next level; runs never share a
 key, so compaction is a union and a sort. Runs are bucketed and sorted by the hash in the shared folder: a later batch
@@ -10,7 +10,7 @@ When all batches are in, a key's total is its run row plus its repeats. Keys hel
 their lines everywhere but in the largest doc_id. Only the documents' own doomed keys travel back to them.
 
 Edge cases: null or empty text is one empty line, which is never long enough to be dropped. A null doc_id is smaller
-than any other. Rows that share a doc_id are separate documents in the count, and are all kept where that doc_id is
+than any other; rows without one still part by the hash of their text. Rows that share a doc_id are separate documents in the count, and are all kept where that doc_id is
 the largest. Lines are split at \\n alone. An empty table gives an empty result.
 """
 
@@ -30,6 +30,9 @@ MIN_POINTS = 20
 MIN_DOCS = 3
 BATCHES = 4
 FANOUT = 2
+#: Most keys that are broadcast, of 16 bytes each and two numbers; rows from which on a key may be one of them.
+BROADCAST = 100_000
+HOT = 100_000
 SPACE = b" \t\n\x0b\x0c\r"
 NO_ID = -(1 << 63)
 
@@ -51,30 +54,31 @@ def _doc(df: DataFrame):
     return F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc")
 
 
+def _same():
+    """Rows of one doc_id and one hash of the text lose the same lines; so rows that share an id, or have none, part."""
+    return F.coalesce(F.xxhash64("text"), F.lit(0)).alias("same")
+
+
 def hashed_lines(df: DataFrame) -> DataFrame:
-    """(key, doc) for the distinct long keys of each document."""
+    """(key, doc, same) for the distinct long keys of each row."""
 
     def part(batches):
         common.common_cache().clear()
         for b in batches:
-            docs, keys = [], []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            docs, same, keys = [], [], []
+            for doc, own, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 found = {digest(k) for k in line_keys(text) if _long(k)}
                 docs += [doc] * len(found)
+                same += [own] * len(found)
                 keys += found
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64())], ["key", "doc"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(docs, pa.int64()), pa.array(same, pa.int64())], ["key", "doc", "same"])
 
-    return df.select(_doc(df), common.utf8(F.col("text")).alias("utf8")).mapInArrow(part, "key binary, doc long")
+    return df.select(_doc(df), _same(), common.utf8(F.col("text")).alias("utf8")).mapInArrow(part, "key binary, doc long, same long")
 
 
-def batches_of(df: DataFrame, n: int = BATCHES) -> list[DataFrame]:
-    """df in n batches: groups of input files where df is a plain Parquet scan of enough files, else slices by a hash."""
-    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
-        files = sorted(df.inputFiles())
-        if len(files) >= n:
-            return [df.sparkSession.read.schema(df.schema).parquet(*files[i::n]) for i in range(n)]
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(n))
-    return [df.filter(slot == i) for i in range(n)]
+def in_batches(lines: DataFrame, n: int = BATCHES) -> DataFrame:
+    """lines, written once, in n batches by document: one folder for each, so that a batch is read without the others."""
+    return common.written(lines.withColumn("batch", F.pmod(F.xxhash64("doc", "same"), F.lit(n)).cast("int")), "lines", by="batch")
 
 
 class Runs:
@@ -116,7 +120,7 @@ class Runs:
             level += 1
 
     def totals(self) -> DataFrame:
-        """(key, n, top) of every key that more than one document holds."""
+        """(key, n, top) of every key that more than one row holds."""
         held = [x for level in sorted(self.levels) for x in self.levels[level]]
         runs = self._union(held)
         if not self.repeats:
@@ -128,18 +132,29 @@ class Runs:
         first = runs.filter("n > 1").unionByName(runs.filter("n = 1").join(again.select("key"), "key", "left_semi"))
         return first.unionByName(again).groupBy("key").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
 
+    def close(self) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")  # external: the files stay for whatever still reads them
+
+
+def doomed(lines: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
+    """(doc, same, keys): the keys whose lines a row loses, of in_batches() lines; rows that lose none are absent.
 
-def doomed(df: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
-    """(doc, keys): the keys whose lines a document loses; documents that lose none are absent."""
-    spark = df.sparkSession
-    runs = Runs(spark)
-    for batch in batches_of(df, batches):
-        runs.add(hashed_lines(batch))
-    often = common.written(runs.totals().filter(F.col("n") >= min_docs).select("key", "top"), "often")
-    for name in runs.tables:
-        spark.sql(f"DROP TABLE {name}")  # external: the files stay for whatever still reads them
-    own = hashed_lines(df).join(often, "key").filter(F.col("doc") != F.col("top"))
-    return own.distinct().groupBy("doc").agg(F.collect_list("key").alias("keys"))
+    A key of very many rows is one hot key of the join that finds them. Keys of more than HOT rows, or more than a
+    BROADCAST-th of all lines, are therefore broadcast: there are BROADCAST of them at most. All other keys meet in a shuffle.
+    """
+    runs = Runs(lines.sparkSession)
+    try:
+        for i in range(batches):
+            runs.add(lines.filter(F.col("batch") == i).select("key", "doc"))
+        often = common.written(runs.totals().filter(F.col("n") >= min_docs).select("key", "top", "n"), "often")
+    finally:
+        runs.close()
+    total, keys = often.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    least = 0 if keys <= BROADCAST else max(HOT, total // BROADCAST)
+    hot = lines.join(F.broadcast(often.filter(F.col("n") > least)), "key")
+    own = hot if not least else hot.unionByName(lines.join(often.filter(F.col("n") <= least), "key"))
+    return own.filter(F.col("doc") != F.col("top")).select("doc", "same", "key").distinct().groupBy("doc", "same").agg(F.collect_list("key").alias("keys"))
 
 
 def _dropped(lines: list[bytes], gone: set[bytes]) -> list[bool]:
@@ -148,9 +163,9 @@ def _dropped(lines: list[bytes], gone: set[bytes]) -> list[bool]:
 
 def dedup(df: DataFrame, min_docs: int = MIN_DOCS, batches: int = BATCHES) -> DataFrame:
     """row (df's columns), lines (kept text as UTF-8), n_lines, n_dropped for every row of df."""
-    gone = doomed(df, min_docs, batches)
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("row"), _doc(df), common.utf8(F.col("text")).alias("utf8"))
-    both = rows.join(gone, "doc", "left").select("row", "utf8", "keys")
+    gone = doomed(in_batches(hashed_lines(df), batches), min_docs, batches)
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != "text"]).alias("row"), _doc(df), _same(), common.utf8(F.col("text")).alias("utf8"))
+    both = rows.join(gone, ["doc", "same"], "left").select("row", "utf8", "keys")
     schema = both.select("row").schema.add("kept", "binary").add("n_lines", "long").add("n_dropped", "long").add("kept_sha256", "string")
 
     def part(batches):
