@@ -28,10 +28,9 @@ from foliant.llm.subword import grams
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-#: Bound of the sample of training texts of each language.
-SAMPLE = 300
-#: Words taken from a training text at most, in one run from a random place.
-TAKEN = 160
+#: Bounds of the sample of training texts: texts of each language, bytes of all of them. Texts are read whole.
+SAMPLE = 160
+SAMPLE_BYTES = 2 << 20
 LENGTH = 40
 EPOCHS = 30
 SEGMENT = 64
@@ -54,85 +53,85 @@ class Model:
         return np.stack([np.bincount(owner, w[ids], len(words)) / n for w in self.weights.T], 1)
 
 
-def _sequences(texts: list[tuple[list[str], int]], rng) -> list[list[tuple[str, int]]]:
-    runs = []
+def _sequences(texts: list[tuple[np.ndarray, int]], rng) -> tuple[np.ndarray, np.ndarray]:
+    """(words, labels) of sequences of LENGTH places, -1 where there is no word: every word of the texts once."""
+    pure, spans = [], []
     for ws, y in texts:
-        if ws:
-            i = int(rng.integers(0, max(1, len(ws) - TAKEN + 1)))
-            runs.append([(w, y) for w in ws[i : i + TAKEN]])
-    pure = [r[i : i + LENGTH] for r in runs for i in range(0, len(r), 2 * LENGTH)]
-    spans = []
-    for r in runs:
-        i = LENGTH
-        while i < len(r):
-            n = int(rng.integers(3, 16))
-            spans.append(r[i : i + n])
-            i += n if (i // LENGTH) % 2 else LENGTH
-    mixed, own = [], []
-    for k in rng.permutation(len(spans)):
-        own = own + spans[k]
-        if len(own) >= LENGTH:
-            mixed.append(own[:LENGTH])
-            own = []
-    return pure + mixed + ([own] if own else [])
+        for i in range(0, len(ws), 2 * LENGTH):
+            pure.append((ws[i : i + LENGTH], y))
+            rest = ws[i + LENGTH : i + 2 * LENGTH]
+            while len(rest):
+                n = int(rng.integers(3, 16))
+                spans.append((rest[:n], y))
+                rest = rest[n:]
+    order = [spans[k] for k in rng.permutation(len(spans))]
+    mixed = np.concatenate([x for x, _ in order]) if order else np.zeros(0, np.int32)
+    labels = np.repeat(np.array([y for _, y in order], np.int32), [len(x) for x, _ in order])
+    n = len(pure) + -(-len(mixed) // LENGTH)
+    word, gold = np.full((n, LENGTH), -1, np.int32), np.zeros((n, LENGTH), np.int32)
+    for k, (ws, y) in enumerate(pure):
+        word[k, : len(ws)], gold[k] = ws, y
+    word[len(pure) :].reshape(-1)[: len(mixed)] = mixed
+    gold[len(pure) :].reshape(-1)[: len(mixed)] = labels
+    return word, gold
 
 
 def fit(rows: list[tuple[bytes, str]], seed: int = 3) -> Model | None:
     labels = sorted({y for _, y in rows})
-    texts = [(words_of(t), labels.index(y)) for t, y in rows]
+    vocab: dict[str, int] = {}
+    texts = [(np.array([vocab.setdefault(w, len(vocab)) for w in words_of(t)], np.int32), labels.index(y)) for t, y in rows]
     rng = np.random.default_rng(seed)
-    seqs = _sequences(texts, rng)
-    if not seqs:
+    word, gold = _sequences(texts, rng)
+    if not len(word):
         return None
-    vocab: dict[str, int] = {}
-    n, k = len(seqs), len(labels)
-    word = np.full((n, LENGTH), -1, np.int64)
-    gold = np.zeros((n, LENGTH), np.int64)
-    for i, s in enumerate(seqs):
-        word[i, : len(s)] = [vocab.setdefault(w, len(vocab)) for w, _ in s]
-        gold[i, : len(s)] = [y for _, y in s]
+    n, k = len(word), len(labels)
+    word, gold = np.ascontiguousarray(word.T), np.ascontiguousarray(gold.T)  # places of all sequences lie together
     real = word >= 0
     owner, ids = grams(list(vocab), ORDERS, BUCKETS)
     owner, ids = owner.astype(np.int32), ids.astype(np.int32)
     scale = 1.0 / np.sqrt(np.bincount(owner, minlength=len(vocab)))
-    w, tr, init = np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros(k)
+    w, tr, init = np.zeros((k, BUCKETS)), np.zeros((k, k)), np.zeros(k)
     flat, want = word[real], gold[real]
     gold_t = np.zeros((k, k))
-    both = real[:, 1:]
-    np.add.at(gold_t, (gold[:, :-1][both], gold[:, 1:][both]), 1)
-    gold_i = np.bincount(gold[:, 0], minlength=k)
+    np.add.at(gold_t, (gold[:-1][real[1:]], gold[1:][real[1:]]), 1)
+    gold_i = np.bincount(gold[0], minlength=k)
     m, v = [0.0] * 3, [0.0] * 3
+    short = [not r.all() for r in real]
     for t in range(1, EPOCHS + 1):
-        e = np.stack([np.bincount(owner, w[ids, j], len(vocab)) for j in range(k)], 1) * scale[:, None]
-        x = np.ones((n, LENGTH, k))
-        x[real] = np.exp(e[flat] - e[flat].max(1, keepdims=True))
+        e = np.stack([np.bincount(owner, w[j][ids], len(vocab)) for j in range(k)], 1) * scale[:, None]
+        e = np.exp(e - e.max(1, keepdims=True))
+        x = np.ones((LENGTH, n, k))
+        x[real] = e[flat]
         step = np.exp(tr)
         a, bt = np.empty((LENGTH, n, k)), np.empty((LENGTH, n, k))
-        a[0] = np.exp(init) * x[:, 0]
+        a[0] = np.exp(init) * x[0]
         a[0] /= a[0].sum(1, keepdims=True)
         for i in range(1, LENGTH):
-            q = (a[i - 1] @ step) * x[:, i]
-            a[i] = np.where(real[:, i, None], q / q.sum(1, keepdims=True), a[i - 1])
+            q = (a[i - 1] @ step) * x[i]
+            q /= q.sum(1, keepdims=True)
+            a[i] = np.where(real[i, :, None], q, a[i - 1]) if short[i] else q
         bt[-1] = 1.0
         pair = np.zeros((k, k))
         for i in range(LENGTH - 1, 0, -1):
-            f = x[:, i] * bt[i]
-            joint = a[i - 1][:, :, None] * step * f[:, None, :]
-            joint /= joint.sum((1, 2), keepdims=True)
-            pair += joint[real[:, i]].sum(0)
+            f = x[i] * bt[i]
             q = f @ step.T
-            bt[i - 1] = np.where(real[:, i, None], q / q.sum(1, keepdims=True), bt[i])
-        p = (a * bt).transpose(1, 0, 2)
+            # Shares of label pairs, summed over the sequences that have a word here.
+            pair += step * (a[i - 1].T @ (f * (real[i] / (a[i - 1] * q).sum(1))[:, None]))
+            q /= q.sum(1, keepdims=True)
+            bt[i - 1] = np.where(real[i, :, None], q, bt[i]) if short[i] else q
+        p = a * bt
         p /= p.sum(2, keepdims=True)
+        first = p[0].sum(0)
         diff = p[real]
         diff[np.arange(len(want)), want] -= 1
-        gv = np.stack([np.bincount(flat, diff[:, j], len(vocab)) for j in range(k)], 1) * scale[:, None]
-        gw = np.stack([np.bincount(ids, gv[owner, j], BUCKETS) for j in range(k)], 1) / n + 1e-5 * w
-        grads = [gw, (pair - gold_t) / n + 1e-4 * tr, (p[:, 0].sum(0) - gold_i) / n]
+        gv = np.stack([np.bincount(flat, diff[:, j], len(vocab)) for j in range(k)]) * scale
+        gw = np.stack([np.bincount(ids, g[owner], BUCKETS) for g in gv]) / n + 1e-5 * w
+        grads = [gw, (pair - gold_t) / n + 1e-4 * tr, (first - gold_i) / n]
         for j, (par, g) in enumerate(zip((w, tr, init), grads)):
             m[j] = 0.9 * m[j] + 0.1 * g
             v[j] = 0.99 * v[j] + 0.01 * g * g
             par -= 0.1 * (m[j] / (1 - 0.9**t)) / (np.sqrt(v[j] / (1 - 0.99**t)) + 1e-8)
+    w = w.T
     return Model(labels, w.astype(np.float32), tr, init)
 
 
@@ -256,10 +255,10 @@ class Tagger:
 
 
 def train(documents: DataFrame, train_rows) -> Model | None:
-    """Fits on about SAMPLE texts of each non-null language among the rows that train_rows keeps."""
-    rows = documents.filter(train_rows & F.col("lang").isNotNull()).select(F.col("doc_id").alias("key"), F.col("lang").alias("label"), F.col("text"))
-    got = common.stratified(rows, "label", "key", SAMPLE).select("key", "label", common.utf8(F.col("text")).alias("utf8")).collect()
-    return fit([(bytes(r["utf8"]), r["label"]) for r in sorted(got, key=lambda r: (str(r["label"]), str(r["key"]), bytes(r["utf8"])))])
+    """Fits on about SAMPLE texts of each non-null language among the rows that train_rows keeps. The model holds BUCKETS
+    weights for each of them."""
+    rows = documents.filter(train_rows & F.col("lang").isNotNull()).select(F.col("doc_id").alias("key"), F.col("lang").alias("label"), "text")
+    return common.fitted(common.one_of_each(common.stratified(rows, "label", "key", SAMPLE), "key", "label", "text"), fit, SAMPLE_BYTES)
 
 
 def predict(df: DataFrame, model: Model | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:

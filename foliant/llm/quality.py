@@ -12,7 +12,6 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from foliant.llm import common
 
@@ -21,8 +20,9 @@ TREES = 70
 DEPTH = 5
 RATE = 0.12
 LEAST = 20
-#: Bound of the labelled sample that the classifier is fitted on.
+#: Bounds of the labelled sample that the classifier is fitted on: rows of each label, bytes of text.
 SAMPLE = {0: 3000, 1: 4000}
+SAMPLE_BYTES = 32 << 20
 
 _CLASSES = np.zeros(256, np.int64)
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b";:!?", b"'\"`", b"()[]{}<>", b"|", b"/\\", b"-_~", b"#$%&*+=@^"]
@@ -111,11 +111,14 @@ def fit(x: np.ndarray, y: np.ndarray) -> Forest:
     return Forest(feature, threshold, left, right, value, base, DEPTH)
 
 
-def train(documents: DataFrame, labels: DataFrame, train_rows) -> Forest:
-    rows = common.labelled_sample(documents, labels, "quality", train_rows, SAMPLE)
+def fit_texts(rows: list[tuple[bytes, int]]) -> Forest:
     return fit(np.array([statistics(t) for t, _ in rows]), np.array([y for _, y in rows], np.float64))
 
 
+def train(documents: DataFrame, labels: DataFrame, train_rows) -> Forest:
+    return common.fitted(common.labelled_sample(documents, labels, "quality", train_rows, SAMPLE), fit_texts, SAMPLE_BYTES)
+
+
 def score(df: DataFrame, model: Forest, text: str = "text", out: str = "score", keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all where None) with the quality of each whole text in column out."""
     held = df.sparkSession.sparkContext.broadcast(model)
