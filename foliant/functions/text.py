@@ -41,17 +41,38 @@ def first_filled(*cs: Column) -> Column:
     return F.coalesce(*[filled(F.trim(c)) for c in cs], F.lit(""))
 
 
-def expand_aliases(c: Column) -> Column:
-    """Spells out abbreviations; a second pass expands again, so apply it once. One cheap test spares most texts."""
-    out = c
-    for pattern, to in ALIASES:
-        out = F.regexp_replace(out, f"(?iU){pattern}", to)
-    return F.when(c.rlike("(?i)fl|lnn?t|coli|udp|hmo"), out).otherwise(c)
+#: What a text in lower case has to hold for the aliases (first, end) to match at all.
+ALIAS_HINTS = [(("fl",), 0, 2), (("lnt", "lnnt"), 2, 5), (("col",), 5, 6), (("udp",), 6, 8), (("hmo",), 8, 9)]
+
+
+def bound(c: Column, f) -> Column:
+    """f(c) with c computed once, however often f uses it: a lambda's variable isn't inlined."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
+def expand_aliases(c: Column, lower: bool = False) -> Column:
+    """Spells out abbreviations; a second pass expands again, so apply it once. Cheap tests spare most texts most of the
+    patterns. lower: the text is in lower case, and so are the replacements."""
+    for hints, first, end in ALIAS_HINTS:
+        c = bound(c, _expansion(hints, ALIASES[first:end], lower))
+    return c
+
+
+def _expansion(hints: tuple[str, ...], aliases: list[tuple[str, str]], lower: bool):
+    def step(t):
+        out, low, hit = t, t if lower else F.lower(t), F.lit(False)
+        for pattern, to in aliases:
+            out = F.regexp_replace(out, f"(?iU){pattern}", to.lower() if lower else to)
+        for h in hints:
+            hit = hit | F.contains(low, F.lit(h))
+        return F.when(hit, out).otherwise(t)
+
+    return step
 
 
 def normalize_search(c: Column) -> Column:
     """Lower-case tokens of ASCII letters, digits and CJK, one space apart; null is the empty text."""
-    c = F.replace(F.lower(expand_aliases(F.coalesce(c, F.lit("")))), F.lit("­"), F.lit(""))
+    c = F.replace(expand_aliases(F.lower(F.coalesce(c, F.lit(""))), lower=True), F.lit("­"), F.lit(""))
     # Two patterns that rarely match are faster than one that matches every single space.
     return F.trim(F.regexp_replace(F.regexp_replace(c, "[^a-z0-9一-鿿 ]+", " "), " {2,}", " "))
 

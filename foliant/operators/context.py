@@ -50,6 +50,21 @@ def distance(a: Column, b: Column, window: int, by_column: bool = False) -> Colu
     return F.when(both("global_order"), within(a["global_order"], b["global_order"])).otherwise(paged).cast("int")
 
 
+def close_boxes(chunks: DataFrame, width: float, height: float, share: float = 0.12) -> DataFrame:
+    """(id, other), id the smaller: the chunks(id, paper_id, page, box) of a page whose centres are within a share of it.
+
+    Centres lie in a grid of that reach; a chunk meets those of its own and the eight cells around, not its whole page.
+    """
+    at = place(page=F.col("page"), box=F.col("box"), page_width=F.lit(width), page_height=F.lit(height)).alias("at")
+    cell = lambda v, size: F.floor(v / (share * size)).cast("long")
+    x, y = geo.center(F.col("box"))
+    c = chunks.select("id", "paper_id", "page", at, cell(x, width).alias("cx"), cell(y, height).alias("cy"))
+    around = lambda v: F.explode(F.sequence(F.col(v) - 1, F.col(v) + 1)).alias(v)
+    left = c.select("id", "paper_id", "page", "at", around("cx"), "cy").select("id", "paper_id", "page", "at", "cx", around("cy"))
+    right = c.select(F.col("id").alias("other"), "paper_id", "page", F.col("at").alias("there"), "cx", "cy")
+    return left.join(right, ["paper_id", "page", "cx", "cy"]).filter((F.col("id") < F.col("other")) & _close(F.col("at"), F.col("there"), share)).select("id", "other")
+
+
 def nearby_rank(hits: DataFrame, expected: DataFrame, window: int = 2) -> DataFrame:
     """(case_id, rank): first hit at or near an expected place, for hits(case_id, rank, paper_id, place) and
     expected(case_id, paper_id, place). Joins on case and paper, so what is compared stays small."""

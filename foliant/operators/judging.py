@@ -60,7 +60,7 @@ def evidence(caption: Column, rules: Column, aligned: Column, numeric: Column, s
 def judged(succeeded: Column, error: Column, confidence: Column, only_caption: Column, captioned: Column, context: Column, rows: Column, cols: Column, reasons: Column, overlap: Column) -> Column:
     """struct(category, action, needs_llm, confidence): the first rule that fits.
 
-    context is word_counts(); reasons are those of quality(); overlap 0 means unknown."""
+    context is that of word_counts(); reasons are those of quality(); overlap 0 means unknown."""
     verdict = lambda category, action, sure, ask=True: F.struct(F.lit(category).alias("category"), F.lit(action).alias("action"), F.lit(ask).alias("needs_llm"), F.lit(sure).alias("confidence"))
     words = context["words"]
     has = lambda why: F.array_contains(reasons, why)

@@ -61,6 +61,16 @@ def in_window(day: Column, until: Column, lookback_days: int) -> Column:
     return day.isNull() | day.between(F.date_sub(until, lookback_days), until)
 
 
+def source_hash(text: Column) -> Column:
+    """What is kept of the text that a translation was made from."""
+    return F.sha1(F.coalesce(text, F.lit("")).cast("binary"))
+
+
+def needs_translation(stored: Column, text: Column) -> Column:
+    """No translation yet, no text, or a text other than the one translated."""
+    return stored.isNull() | text.isNull() | (stored != source_hash(text))
+
+
 def due(next_run: Column, now: Column) -> Column:
     """A monitor without a readable time is due."""
     at = F.try_to_timestamp(next_run)

@@ -6,7 +6,7 @@ take a matrix expect the output of normalized(): rows of equal width, cells trim
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Words that mark a header row.
@@ -271,15 +271,29 @@ def unfolded(m: Column) -> Column:
     return F.when((width >= 4) & (width % 2 == 0), found).otherwise(m)
 
 
-def word_counts(text: Column) -> Column:
-    """struct(words, numbers, singles, mean_length, long_lines, prose): what the rules ask of a region's text."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    n = F.size(words)
-    return F.struct(
-        n.alias("words"),
-        F.size(F.filter(words, lambda w: w.rlike(r"\d"))).alias("numbers"),
-        F.size(F.filter(words, lambda w: F.length(w) == 1)).alias("singles"),
-        F.when(n > 0, _total(F.transform(words, lambda w: F.length(w))) / n).otherwise(0.0).alias("mean_length"),
-        F.size(F.filter(F.split(text, "\n"), lambda x: F.size(F.filter(F.split(x, r"\s+"), lambda w: w != "")) >= 18)).alias("long_lines"),
-        F.size(F.filter(words, lambda w: F.lower(w).isin(PROSE_WORDS))).alias("prose"),
+def word_counts(words: DataFrame, by: list[str]) -> DataFrame:
+    """by and context: struct(words, lines, long_lines, prose, numbers, singles, mean_length), what the rules ask of a region,
+    from its words(by, text, top, place).
+
+    Words whose tops round to the same step of 4 points are one line, in order of place. Words are counted before lines
+    are joined, so that what meets in one task is a line.
+    """
+    w = words.withColumn("text", F.btrim(F.col("text"), F.lit(SPACE))).filter(F.col("text") != "")
+    at = F.bround(F.coalesce(F.col("top"), F.lit(0.0)).cast("double") / 4).cast("long").alias("__line")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "text"))), lambda x: x["text"]), " ")
+    lines = w.groupBy(*by, at).agg(
+        joined.alias("line"),
+        F.count("*").alias("words"),
+        F.count_if(F.col("text").rlike(r"\d")).alias("numbers"),
+        F.count_if(F.length(F.btrim(F.col("text"), F.lit(".,;:()[]"))) <= 1).alias("singles"),
+        F.sum(F.length("text")).alias("letters"),
     )
+    parts = F.size(F.filter(F.split("line", r"\s+"), lambda x: x != ""))
+    lines = lines.withColumns({"long": (parts >= 14) | (F.length("line") >= 100), "prose": prose_words(F.col("line"))})
+    sums = lines.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("words", "numbers", "singles", "letters", "prose")], F.count("*").alias("lines"), F.count_if("long").alias("long_lines"))
+    mean = F.bround(F.col("letters") / F.col("words"), 2).alias("mean_length")
+    return sums.select(*by, F.struct("words", "lines", "long_lines", "prose", "numbers", "singles", mean).alias("context"))
+
+
+#: The context of a region without words.
+NO_WORDS = "named_struct('words', 0L, 'lines', 0L, 'long_lines', 0L, 'prose', 0L, 'numbers', 0L, 'singles', 0L, 'mean_length', 0D)"

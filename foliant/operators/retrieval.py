@@ -5,6 +5,7 @@ Hits are rows with id, score and whatever else they carry. Every ranking is by s
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -43,30 +44,47 @@ def term_frequencies(entries: DataFrame) -> DataFrame:
     return entries.select(F.explode(tx.index_terms(F.col("normalized"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
 
-def idf_of_query(entries: DataFrame, query: str) -> dict[str, float]:
-    """idf of each query term: that of its rarest indexed token, 1 where none is indexed. Only the query's tokens are counted."""
+def idf_of_query(frequencies: DataFrame, documents: int, query: str) -> dict[str, float]:
+    """idf of each query term: that of its rarest indexed token, 1 where none is indexed. Only the query's tokens are read
+    of frequencies(term, df)."""
     tokens = {t: tx.query_index_terms(t) for t in tx.query_terms(query)}
     wanted = sorted({x for ts in tokens.values() for x in ts})
-    counts = entries.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains(tx.index_terms(F.col("normalized")), w)).alias(f"c{i}") for i, w in enumerate(wanted)]).first()
-    n = max(counts["n"], 1)
-    df = {w: counts[f"c{i}"] for i, w in enumerate(wanted)}
-    import math
+    df = {r["term"]: r["df"] for r in frequencies.filter(F.col("term").isin(wanted)).collect()}
+    n = max(documents, 1)
+    return {t: (1.0 + math.log((n + 1) / (min([df[x] for x in ts if x in df], default=n) + 1)) if ts else 1.0) for t, ts in tokens.items()}
 
-    return {t: (1.0 + math.log((n + 1) / (min([df[x] for x in ts if df[x]], default=n) + 1)) if ts else 1.0) for t, ts in tokens.items()}
 
+def candidate_pool(postings: DataFrame, frequencies: DataFrame, query: str, limit: int) -> DataFrame:
+    """(id) of the entries that hold one of the query's rarest tokens: tokens are taken from the rarest on, none that is
+    too common, until their postings hold enough different entries (three tokens at least, twelve at most).
 
-def candidate_terms(frequencies: DataFrame, query: str, limit: int) -> list[str]:
-    """Tokens of the query whose postings are read: the rarest first, none that is too common, twelve at most."""
+    Only the postings of at most twelve tokens are read. An entry counts for the first of them that it holds, so
+    twelve counts tell where to stop.
+    """
     pool = max(limit * 8, 1000)
     wanted = sorted({x for t in tx.query_terms(query) for x in tx.query_index_terms(t)})
-    rows = frequencies.filter(F.col("term").isin(wanted) & (F.col("df") <= max(2 * pool, 2000))).orderBy("df", "term").limit(12).collect()
-    chosen, seen = [], 0
-    for r in rows:
-        chosen.append(r["term"])
-        seen += r["df"]
-        if seen >= pool and len(chosen) >= 3:
+    rare = frequencies.filter(F.col("term").isin(wanted) & (F.col("df") <= max(2 * pool, 2000))).orderBy("df", "term").limit(12).collect()
+    if not rare:
+        return postings.select("id").limit(0)
+    place = F.lit(len(rare))
+    for k, r in reversed(list(enumerate(rare))):
+        place = F.when(F.col("term") == r["term"], k).otherwise(place)
+    first = postings.filter(F.col("term").isin([r["term"] for r in rare])).groupBy("id").agg(F.min(place).alias("place"))
+    new = {r["place"]: r["count"] for r in first.groupBy("place").count().collect()}
+    seen, last = 0, len(rare) - 1
+    for k in range(len(rare)):
+        seen += new.get(k, 0)
+        if seen >= pool and k >= 2:
+            last = k
             break
-    return chosen
+    return first.filter(F.col("place") <= last).select("id")
+
+
+def matched_terms(items: DataFrame, postings: DataFrame, key: str) -> DataFrame:
+    """(key, term, df): the indexed terms of items(key, normalized) and how many documents hold them. Postings are counted
+    by term before they meet the items, so a common term brings one row for each item."""
+    wanted = items.select(key, F.explode(tx.index_terms(F.col("normalized"))).alias("term"))
+    return wanted.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select(key, "term", "df")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -132,14 +150,16 @@ FIELD_WEIGHTS = {"entities": 12.0, "seo": 10.0, "visual": 8.0, "title": 6.0, "su
 
 
 def fielded_score(fields: dict[str, Column], query: str, idf: dict[str, float] | None = None) -> Column:
-    """Sum over fields and terms: field weight, term weight, idf, and a quarter more for a second and a third occurrence."""
+    """Sum over fields and terms: field weight, term weight, idf, and a quarter more for a second and a third occurrence;
+    0 where the query names a strict anchor that no field holds."""
     parts = []
     for name, value in fields.items():
         for term, weight in tx.query_terms(query).items():
             if term != "lnt":
                 n = F.least(tx.occurrences(value, term), F.lit(3))
                 parts.append(F.when(n > 0, FIELD_WEIGHTS.get(name, 1.0) * weight * (idf or {}).get(term, 1.0) * (1.0 + 0.25 * (n - 1))).otherwise(0.0))
-    return total(parts)
+    score = total(parts)
+    return F.when(has_anchor(F.concat_ws(" ", *fields.values())), score).otherwise(0.0) if needs_anchor(query) else score
 
 
 def distinct_first(hits: DataFrame, key: list[str], order: list) -> DataFrame:
@@ -192,13 +212,13 @@ def protected_prefix(hits: DataFrame, protected: DataFrame, limit: int) -> DataF
 def neighbors(seeds: DataFrame, chunks: DataFrame, window: int = 2) -> DataFrame:
     """Chunks within `window` places of a hit in the same paper, each by its best score.
 
-    seeds(id, paper_id, ord, score), chunks(id, paper_id, ord). The join has the paper as its key, so the distance is
-    a residual condition, not a nested loop.
+    seeds(id, paper_id, ord, score), chunks(id, paper_id, ord). A seed asks for each place of its window, so a chunk
+    meets only the seeds that are close to it, however long a paper is.
     """
-    s = seeds.select(F.col("id").alias("seed"), "paper_id", F.col("ord").alias("at"), F.col("score").alias("base"))
-    far = F.abs(F.col("ord") - F.col("at"))
-    near = chunks.join(s, "paper_id").filter((F.col("id") != F.col("seed")) & (far <= window))
-    near = near.withColumn("distance", far).withColumn("score", F.col("base") * F.greatest(F.lit(0.55), 0.98 - 0.08 * F.col("distance")))
+    reach = F.explode(F.sequence(F.col("ord") - window, F.col("ord") + window)).alias("ord")
+    s = seeds.select(F.col("id").alias("seed"), "paper_id", F.col("ord").alias("at"), F.col("score").alias("base"), reach)
+    near = chunks.join(s, ["paper_id", "ord"]).filter(F.col("id") != F.col("seed")).withColumn("distance", F.abs(F.col("ord") - F.col("at")))
+    near = near.withColumn("score", F.col("base") * F.greatest(F.lit(0.55), 0.98 - 0.08 * F.col("distance")))
     return distinct_first(near.select("id", "paper_id", "ord", "distance", "score", "seed"), ["id"], [F.desc("score"), "seed"])
 
 

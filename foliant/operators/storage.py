@@ -43,8 +43,13 @@ def has_any(*columns: str) -> Column:
     return out
 
 
-def upserted(store: DataFrame, incoming: DataFrame, key: str = "id") -> DataFrame:
-    """The store with incoming rows in place of those of the same key. Vectors of another length are an error."""
+def upserted(store: DataFrame, incoming: DataFrame, key: str = "id", vector: str | None = None) -> DataFrame:
+    """The store with incoming rows in place of those of the same key. Vectors of another length than the store's, or of
+    several lengths, are an error: nothing of the store is given up for them."""
+    if vector:
+        lengths = [r[0] for r in store.select(F.size(vector).alias("n")).union(incoming.select(F.size(vector))).filter("n >= 0").distinct().limit(2).collect()]
+        if len(lengths) > 1:
+            raise ValueError(f"vectors of different lengths: {sorted(lengths)}")
     return store.join(incoming.select(key), key, "left_anti").unionByName(incoming)
 
 

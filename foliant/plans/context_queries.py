@@ -26,13 +26,10 @@ def r15_neighbor_distance(spark, d):
     return rows.select("id", cx.distance(of(F.col("both")), of(F.col("next")), 2).alias("steps"))
 
 
-@query(f"WITH {CHUNKS} SELECT a.id, b.id AS other FROM chunks a JOIN chunks b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id < b.id WHERE a.id % 20 = 0 AND sqrt(power((a.x0 + a.x1 - b.x0 - b.x1) / 2 / 700, 2) + power((a.y0 + a.y1 - b.y0 - b.y1) / 2 / 900, 2)) <= 0.12")
+@query(f"WITH {CHUNKS} SELECT a.id, b.id AS other FROM chunks a JOIN chunks b ON a.paper_id = b.paper_id AND a.page = b.page AND a.id < b.id WHERE sqrt(power((a.x0 + a.x1 - b.x0 - b.x1) / 2 / 700, 2) + power((a.y0 + a.y1 - b.y0 - b.y1) / 2 / 900, 2)) <= 0.12")
 def j3_close_boxes(spark, d):
-    """Every twentieth chunk with the later ones of its page whose centre is close."""
-    c = chunks(spark, d).select("id", "paper_id", "page", cx.place(page=F.col("page"), box=F.col("box"), page_width=F.lit(700.0), page_height=F.lit(900.0)).alias("at"))
-    other = c.select(F.col("id").alias("other"), "paper_id", "page", F.col("at").alias("there"))
-    both = c.filter("id % 20 = 0").join(other, ["paper_id", "page"]).filter("id < other")
-    return both.filter(cx.distance(F.col("at"), F.col("there"), 1) == 1).select("id", "other")
+    """Every pair of chunks of a page whose centres are close."""
+    return cx.close_boxes(chunks(spark, d).select("id", "paper_id", "page", "box"), 700.0, 900.0)
 
 
 HITS = f"{SEEDS}, cases AS (SELECT id % 5 AS case_id, id, paper_id, ord, row_number() OVER (PARTITION BY id % 5 ORDER BY rank) AS rank FROM seeds), expected AS (SELECT id % 5 AS case_id, id, paper_id, ord FROM entries WHERE id % 7 = 0)"

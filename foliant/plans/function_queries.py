@@ -9,6 +9,9 @@ from foliant.functions import splitting as sp
 from foliant.functions import text as tx
 from foliant.operators import layout as lo
 from foliant.operators import literature as li
+from foliant.operators import retrieval as rt
+from foliant.operators import search_index as si
+from foliant.plans.retrieval_queries import ENTRIES, NORM, TOKENS, index
 from foliant.registry import query, table
 
 SPACED = r"trim(regexp_replace(text, '\s+', ' ', 'g'))"
@@ -98,10 +101,11 @@ def f8_due_monitors(spark, d):
     return docs(spark, d).select("doc_id", li.due(at, F.lit("2025-01-01 00:00:00").cast("timestamp")).alias("due"))
 
 
-@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR sha1(text) <> sha1(substr(text, 1, 200))")
+@query("SELECT doc_id FROM documents WHERE doc_id % 3 = 0 OR doc_id % 3 = 2 OR text IS NULL")
 def f13_needs_translation(spark, d):
-    stored = F.when(F.col("doc_id") % 3 != 0, F.sha1(F.substring("text", 1, 200).cast("binary")))
-    return docs(spark, d).filter(stored.isNull() | (stored != F.sha1(F.col("text").cast("binary")))).select("doc_id")
+    """Never translated, translated from another text, or translated from this one."""
+    stored = F.when(F.col("doc_id") % 3 == 1, li.source_hash(F.col("text"))).when(F.col("doc_id") % 3 == 2, li.source_hash(F.concat("text", F.lit(" once"))))
+    return docs(spark, d).filter(li.needs_translation(stored, F.col("text"))).select("doc_id")
 
 
 @query("SELECT doc_id, score FROM (SELECT doc_id, n_chars % 1000 / 1000.0::DOUBLE AS score FROM documents) ORDER BY score DESC, doc_id LIMIT 20")
@@ -206,11 +210,14 @@ def j5_context_minus_returned(spark, d):
     return rest.filter("key IS NOT NULL").join(got.select("h").filter("h IS NOT NULL").distinct(), F.col("key") == F.col("h"), "left_anti").select("doc_id")
 
 
-@query("WITH t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM documents), q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS term FROM benchmark) SELECT item_id, doc_id, count(*) AS n FROM q JOIN t USING (term) GROUP BY ALL HAVING count(*) >= 12")
+@query(
+    f"WITH {ENTRIES}, t AS (SELECT id, unnest({TOKENS}) AS term FROM entries), f AS (SELECT term, count(*) AS df FROM t GROUP BY term), "
+    f"q AS (SELECT item_id, unnest({TOKENS}) AS term FROM (SELECT item_id, {NORM} AS normalized FROM benchmark)) SELECT item_id, term, df FROM q JOIN f USING (term)"
+)
 def j13_postings(spark, d):
-    terms = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{5,})"), 1))).alias("term")
-    q = table(spark, d, "benchmark").select("item_id", terms)
-    return docs(spark, d).select("doc_id", terms).join(q, "term").groupBy("item_id", "doc_id").agg(F.count("*").alias("n")).filter("n >= 12")
+    """Each item's terms with the documents that hold them."""
+    items = si.normalized(table(spark, d, "benchmark"))
+    return rt.matched_terms(items, index(spark, d).postings, "item_id")
 
 
 @query("SELECT doc_id, coalesce(quality, -1) AS quality, CASE WHEN toxic = 1 THEN 'skipped' WHEN quality = 1 THEN 'restored' ELSE 'candidate' END AS status FROM documents LEFT JOIN labels USING (doc_id)")

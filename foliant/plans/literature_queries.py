@@ -14,7 +14,7 @@ from foliant.streaming import monitor as mo
 FIELDS = [
     "doc_id AS id", "CASE doc_id % 5 WHEN 0 THEN 'pubmed' WHEN 1 THEN 'europe_pmc' WHEN 2 THEN 'openalex' WHEN 3 THEN 'biorxiv' ELSE 'crossref' END AS source",
     "CASE WHEN doc_id % 3 = 0 THEN concat('https://doi.org/10.1101/ABC.', CAST(doc_id % 200 AS STRING), '.') ELSE '' END AS doi", "CASE WHEN doc_id % 4 = 0 THEN concat('PMID ', CAST(doc_id % 300 AS STRING)) ELSE '' END AS pmid",
-    "'' AS pmcid", "'' AS openalex", "substr(text, 1, 60) AS title", "CASE WHEN doc_id % 6 = 0 THEN '' ELSE substr(text, 1, 200) END AS abstract", "CAST(2015 + doc_id % 12 AS INT) AS year",
+    "'' AS pmcid", "'' AS openalex", "split_part(text, chr(10), 1) AS title", "CASE WHEN doc_id % 6 = 0 THEN '' ELSE substr(text, length(split_part(text, chr(10), 1)) + 2) END AS abstract", "CAST(2015 + doc_id % 12 AS INT) AS year",
     "CASE WHEN doc_id % 7 = 0 THEN 'http://x/y.pdf' ELSE '' END AS pdf_url", "CASE doc_id % 8 WHEN 0 THEN 'verified' WHEN 1 THEN 'unavailable' ELSE 'unknown' END AS pdf_access_status", "doc_id % 9 = 0 AS is_open_access",
 ]
 PRIO = "CASE source WHEN 'pubmed' THEN 10 WHEN 'europe_pmc' THEN 20 WHEN 'openalex' THEN 30 WHEN 'biorxiv' THEN 40 ELSE 50 END"

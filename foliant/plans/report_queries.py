@@ -11,6 +11,7 @@ from foliant.operators import literature as li
 from foliant.operators import reports as rp
 from foliant.operators import storage as st
 from foliant.plans.literature_queries import CASES, cases
+from foliant.plans.retrieval_queries import ANCHOR_ENTRIES, HAS_ANCHOR, anchored
 from foliant.plans.store_queries import CHUNKS, chunks, verdicts
 from foliant.registry import query, table
 
@@ -252,11 +253,11 @@ def k2_split_and_added(spark, d):
     return pieces.groupBy(F.col("source").alias("paper_id")).agg(F.count("*").alias("pieces"))
 
 
-@query("SELECT doc_id, coalesce(contains(lower(text), 'lacto n triose ii') OR contains(lower(text), 'lnt ii'), false) AS anchored FROM documents")
+@query(f"WITH {ANCHOR_ENTRIES} SELECT id AS doc_id, {HAS_ANCHOR} AS anchored FROM a")
 def f14_strict_anchor(spark, d):
     from foliant.operators import retrieval as rt
 
-    return docs(spark, d).select("doc_id", rt.has_anchor(F.lower(F.coalesce("text", F.lit("")))).alias("anchored"))
+    return anchored(spark, d).select(F.col("id").alias("doc_id"), rt.has_anchor(F.col("t")).alias("anchored"))
 
 
 @query("SELECT doc_id, source AS paper_id, coalesce(quality, 0) AS quality, false AS reranked FROM documents LEFT JOIN labels USING (doc_id)")

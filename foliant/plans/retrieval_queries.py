@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
 from foliant.operators import retrieval as rt
+from foliant.operators import search_index as si
 from foliant.registry import query, table
 
 QUERY = "Which evidence reports the stupid worthless result of thread ii"
@@ -20,8 +21,17 @@ STOP = ", ".join(f"'{w}'" for w in tx.STOPWORDS)
 TOKENS = rf"list_filter(list_distinct(regexp_extract_all(normalized, '[a-z0-9]+|[\x{{4e00}}-\x{{9fff}}]+')), lambda x: length(x) >= 2 AND x NOT IN ({STOP}))"
 
 
+def chunk_rows(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.col("doc_id").alias("ord"), "text")
+
+
+def index(spark: SparkSession, d: str) -> si.SearchIndex:
+    return si.of_table(spark, f"{d}/documents.parquet", chunk_rows(spark, d))
+
+
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("paper_id"), F.col("doc_id").alias("ord"), tx.once(tx.normalize_search(F.col("text"))).alias("normalized"))
+    """The stored entries: normalised when the index was built, not by every query."""
+    return index(spark, d).entries
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
@@ -30,7 +40,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {ENTRIES} SELECT id, md5(normalized) AS h FROM entries")
 def x2_normalize(spark, d):
-    return entries(spark, d).select("id", F.md5("normalized").alias("h"))
+    return si.normalized(chunk_rows(spark, d)).select("id", F.md5("normalized").alias("h"))
 
 
 @query("SELECT doc_id, (('0x' || substr(md5(source || ':' || doc_id), 1, 16))::UBIGINT::HUGEINT % 9223372036854775808::HUGEINT)::BIGINT AS point_id FROM documents")
@@ -53,6 +63,14 @@ def g10_document_frequency(spark, d):
     return rt.term_frequencies(entries(spark, d))
 
 
+@query(f"WITH {ENTRIES}, p AS (SELECT id, unnest({TOKENS}) AS term FROM entries) SELECT (SELECT count(*) FROM entries) AS entries, count(*) AS postings, count(DISTINCT term) AS terms, (SELECT max(n) FROM (SELECT count(*) AS n FROM p GROUP BY term)) AS longest FROM p")
+def k13_search_index(spark, d):
+    """Builds the stored search text, its postings and their counts anew."""
+    i = si.built(chunk_rows(spark, d), f"{si.scratch(spark)}/search-new")
+    counts = i.frequencies.agg(F.sum("df").alias("postings"), F.count("*").alias("terms"), F.max("df").alias("longest"))
+    return i.entries.agg(F.count("*").alias("entries")).join(counts)
+
+
 IDF = (
     f"{ENTRIES}, tok AS (SELECT id, unnest({TOKENS}) AS tok FROM entries), df AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok), q(term, w) AS (VALUES {TERMS}), "
     "parts AS (SELECT term, w, unnest(string_split(term, ' ')) AS tok FROM q), "
@@ -62,22 +80,58 @@ IDF = (
 
 @query(f"WITH {IDF} SELECT id, round(sum(CASE WHEN contains(normalized, term) THEN w * idf ELSE 0 END), 6) AS score FROM entries, idf GROUP BY id, normalized")
 def r5_idf_score(spark, d):
-    e = entries(spark, d)
-    return e.select("id", F.round(rt.lexical_score(F.col("normalized"), QUERY, rt.idf_of_query(e, QUERY)), 6).alias("score"))
+    i = index(spark, d)
+    idf = rt.idf_of_query(i.frequencies, i.entries.count(), QUERY)
+    return i.entries.select("id", F.round(rt.lexical_score(F.col("normalized"), QUERY, idf), 6).alias("score"))
 
 
 @query(f"WITH {IDF} SELECT term, round(idf, 6) AS idf FROM idf")
 def r6_term_idf(spark, d):
-    idf = rt.idf_of_query(entries(spark, d), QUERY)
+    i = index(spark, d)
+    idf = rt.idf_of_query(i.frequencies, i.entries.count(), QUERY)
     return spark.createDataFrame([(t, round(v, 6)) for t, v in idf.items()], "term string, idf double")
 
 
-@query()
+POOL = (
+    f"{ENTRIES}, tok AS (SELECT id, paper_id, unnest({TOKENS}) AS tok FROM entries), df AS (SELECT tok, count(*) AS n FROM tok GROUP BY tok), "
+    f"ranked AS (SELECT tok, row_number() OVER (ORDER BY n, tok) AS pos FROM df WHERE tok IN ({', '.join(repr(x) for x in sorted({x for t in tx.query_terms(QUERY) for x in tx.query_index_terms(t)}))}) AND n <= 2000 QUALIFY pos <= 12), "
+    "firsts AS (SELECT id, paper_id, min(pos) AS pos FROM tok JOIN ranked USING (tok) GROUP BY ALL), cum AS (SELECT pos, (SELECT count(*) FROM firsts f WHERE f.pos <= r.pos) AS seen FROM ranked r), "
+    "stop AS (SELECT coalesce(min(pos) FILTER (seen >= 1000 AND pos >= 3), 12) AS k FROM cum)"
+)
+
+
+@query(f"WITH {POOL} SELECT id, paper_id FROM firsts, stop WHERE pos <= k")
 def r7_candidate_pool(spark, d):
-    """Entries that hold one of the query's rarest tokens."""
-    e = entries(spark, d)
-    chosen = rt.candidate_terms(rt.term_frequencies(e), QUERY, 10)
-    return e.filter(F.arrays_overlap(tx.index_terms(F.col("normalized")), F.array(*[F.lit(t) for t in chosen]).cast("array<string>"))).select("id", "paper_id")
+    i = index(spark, d)
+    return i.entries.join(rt.candidate_pool(i.postings, i.frequencies, QUERY, 10), "id", "left_semi").select("id", "paper_id")
+
+
+#: A query with a strict anchor, over texts of which every seventh holds it.
+ANCHORED = "LNT II titer of the pathway"
+ANCHOR_TEXT = "normalized || CASE WHEN id % 7 = 0 THEN ' lnt ii ' ELSE '' END"
+ANCHOR_TERMS = {t: w for t, w in tx.query_terms(ANCHORED).items() if t != "lnt"}
+ANCHOR_SCORE = " + ".join(f"CASE WHEN contains(t, '{t}') THEN {w}::DOUBLE ELSE 0 END" for t, w in ANCHOR_TERMS.items()) + " + CASE WHEN contains(t, 'fermentation experiment') THEN 0.12::DOUBLE ELSE 0 END"
+HAS_ANCHOR = "(contains(t, 'lnt ii') OR contains(t, 'lacto n triose ii'))"
+ANCHOR_ENTRIES = f"{ENTRIES}, a AS (SELECT id, paper_id, {ANCHOR_TEXT} AS t FROM entries)"
+
+
+def anchored(spark, d) -> DataFrame:
+    return entries(spark, d).select("id", "paper_id", F.expr(ANCHOR_TEXT).alias("t"))
+
+
+@query(f"WITH {ANCHOR_ENTRIES} SELECT id, round(CASE WHEN {HAS_ANCHOR} THEN {ANCHOR_SCORE} ELSE 0 END, 6) AS score FROM a")
+def r4_anchored_score(spark, d):
+    return anchored(spark, d).select("id", F.round(rt.lexical_score(F.col("t"), ANCHORED), 6).alias("score"))
+
+
+@query(f"WITH {ANCHOR_ENTRIES} SELECT id, round(CASE WHEN {HAS_ANCHOR} THEN {' + '.join(f'CASE WHEN contains(t, {t!r}) THEN {w}::DOUBLE * 1.5 ELSE 0 END' for t, w in ANCHOR_TERMS.items())} + CASE WHEN contains(t, 'fermentation experiment') THEN 0.12::DOUBLE ELSE 0 END ELSE 0 END, 6) AS score FROM a")
+def r5_anchored_idf(spark, d):
+    return anchored(spark, d).select("id", F.round(rt.lexical_score(F.col("t"), ANCHORED, dict.fromkeys(tx.query_terms(ANCHORED), 1.5)), 6).alias("score"))
+
+
+@query(f"WITH {ANCHOR_ENTRIES} SELECT id, round(0.5 + least(CASE WHEN {HAS_ANCHOR} THEN {ANCHOR_SCORE} ELSE 0 END, 1.35), 6) AS score FROM a")
+def r9_anchored_boost(spark, d):
+    return rt.boosted(anchored(spark, d).withColumn("score", F.lit(0.5)), F.col("t"), ANCHORED).select("id", F.round("score", 6).alias("score"))
 
 
 OCC = "least((length(f) - length(replace(f, term, ''))) / length(term), 3)"
@@ -91,6 +145,14 @@ def r10_fielded_score(spark, d):
     return entries(spark, d).select("id", F.round(rt.fielded_score({"content": F.col("normalized"), "title": F.col("paper_id")}, QUERY), 6).alias("score"))
 
 
+@query(
+    f"WITH {ANCHOR_ENTRIES}, q(term, w) AS (VALUES {', '.join(f'({t!r}, {w}::DOUBLE)' for t, w in ANCHOR_TERMS.items())}), fields AS (SELECT id, {HAS_ANCHOR} AS ok, unnest([{{'f': t, 'fw': 1.0}}, {{'f': paper_id, 'fw': 6.0}}], recursive := true) FROM a) "
+    f"SELECT id, round(sum(CASE WHEN ok AND contains(f, term) THEN fw * w * (1 + 0.25 * ({OCC} - 1)) ELSE 0 END), 6) AS score FROM fields, q GROUP BY id"
+)
+def r10_anchored_fields(spark, d):
+    return anchored(spark, d).select("id", F.round(rt.fielded_score({"content": F.col("t"), "title": F.col("paper_id")}, ANCHORED), 6).alias("score"))
+
+
 @query(f"WITH {ENTRIES} SELECT id, round(0.5 + least({SCORE}, 0.35), 6) AS score FROM entries WHERE {SCORE} > 0")
 def r9_relevance_boost(spark, d):
     hits = entries(spark, d).withColumn("score", F.lit(0.5))

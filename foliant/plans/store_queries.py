@@ -109,10 +109,10 @@ def g4_count_per_paper(spark, d):
     return points(spark, d).groupBy("paper_id").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {POINTS}, i AS (SELECT id, paper_id, 'new' AS status FROM points WHERE id % 3 = 0) SELECT id, paper_id, status FROM points WHERE id % 2 = 0 AND id NOT IN (SELECT id FROM i) UNION ALL SELECT * FROM i")
+@query(f"WITH {POINTS}, i AS (SELECT id, paper_id, 'new' AS status FROM points WHERE id % 3 <> 0) SELECT id, paper_id, status FROM points WHERE id % 3 <> 1 AND id NOT IN (SELECT id FROM i) UNION ALL SELECT * FROM i")
 def k1_upsert(spark, d):
     p = points(spark, d).select("id", "paper_id", "status")
-    return st.upserted(p.filter("id % 2 = 0"), p.filter("id % 3 = 0").withColumn("status", F.lit("new")))
+    return st.upserted(p.filter("id % 3 <> 1"), p.filter("id % 3 <> 0").withColumn("status", F.lit("new")))
 
 
 @query(f"WITH {POINTS} SELECT id, CASE WHEN id % 4 = 0 THEN 'done' ELSE status END AS status FROM points")
@@ -208,10 +208,13 @@ def g27_box_union(spark, d):
     return chunks(spark, d).groupBy("paper_id", "page").agg(geo.union_all("box").alias("u")).select("paper_id", "page", "u.*")
 
 
-@query("SELECT doc_id, list_transform(regexp_extract_all(text, '\\b[0-9]+(?:\\.[0-9]+)?\\s*(?:mM|uM|h|hr|hours?)\\b', 0, 'i'), lambda x: lower(x)) AS metrics FROM documents")
+METRICS = " , ".join(f"regexp_extract_all(text, '{p}', 0, 'i')" for p in tx.METRICS)
+
+
+@query(f"SELECT doc_id, list_concat({METRICS}) AS metrics FROM (SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 9 = 0 THEN ' Titer 2.5 g/L after 30 h, OD600 of 12' ELSE '' END AS text FROM documents)")
 def x10_metrics(spark, d):
-    found = F.regexp_extract_all("text", F.lit(r"(?i)(\b[0-9]+(?:\.[0-9]+)?\s*(?:mM|uM|h|hr|hours?)\b)"), 1)
-    return table(spark, d, "documents").select("doc_id", F.transform(found, lambda x: F.lower(x)).alias("metrics"))
+    more = F.when(F.col("doc_id") % 9 == 0, " Titer 2.5 g/L after 30 h, OD600 of 12").otherwise("")
+    return table(spark, d, "documents").select("doc_id", tx.metrics(F.concat(F.coalesce("text", F.lit("")), more)).alias("metrics"))
 
 
 MADE = "SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'text' ELSE 'table' END AS content_type, doc_id % 11 = 0 AS excluded, CASE WHEN doc_id % 22 = 0 THEN 'body_heavy_low_column_candidate' ELSE '' END AS prior_source, doc_id % 4 = 0 AS has_caption, CASE WHEN doc_id % 13 = 0 THEN 'cut' ELSE ' ' END AS unparseable, CASE doc_id % 17 WHEN 0 THEN 'drop_candidate' WHEN 1 THEN 'mark_unparseable' WHEN 2 THEN 'expand_bbox' END AS llm_action, CASE WHEN doc_id % 8 = 3 THEN 'shrink_bbox' ELSE '' END AS rule_action, '' AS auto_action, CASE doc_id % 19 WHEN 0 THEN 'candidate_false_positive' WHEN 1 THEN 'fragmented_text_layer' ELSE '' END AS llm_category, '' AS rule_category, CAST(doc_id % 7 AS INT) AS `rows`, CAST(doc_id % 5 AS INT) AS cols, doc_id % 23 = 0 AS unparsed, CAST(doc_id * 7 % 101 AS DOUBLE) / 103 AS prose, CAST(doc_id * 13 % 101 AS DOUBLE) / 107 AS consistency, CAST(doc_id * 29 % 101 AS DOUBLE) / 109 AS fill, CAST(doc_id % 30 AS DOUBLE) / 10 AS area_ratio, CAST(doc_id % 40 AS INT) AS words, CAST(doc_id % 9 AS INT) AS numbers, CAST(doc_id % 4 AS INT) AS long_lines, CAST(doc_id % 12 AS INT) AS body_words FROM documents"
@@ -281,7 +284,7 @@ def j2_band_join(spark, d):
     return c.select("conv_id", "turn").join(o, "conv_id").filter((F.col("turn") != F.col("other")) & (F.abs(F.col("turn") - F.col("other")) <= 2))
 
 
-@query("SELECT id, score FROM (SELECT vec_id AS id, 1 AS f, label::DOUBLE AS score FROM embeddings WHERE vec_id < 40 UNION ALL SELECT vec_id, 0, -label::DOUBLE FROM embeddings WHERE vec_id % 3 = 0 AND vec_id < 60) QUALIFY row_number() OVER (PARTITION BY id ORDER BY f) = 1")
+@query("SELECT id, score FROM (SELECT vec_id AS id, 1 AS f, label::DOUBLE AS score FROM embeddings WHERE vec_id % 3 <> 0 UNION ALL SELECT vec_id, 0, -label::DOUBLE FROM embeddings WHERE vec_id % 3 <> 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY f) = 1")
 def d1_append_unique(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("double").alias("score"))
-    return rt.append_unique(e.filter("id % 3 = 0 AND id < 60").withColumn("score", -F.col("score")), e.filter("id < 40"))
+    return rt.append_unique(e.filter("id % 3 <> 1").withColumn("score", -F.col("score")), e.filter("id % 3 <> 0"))

@@ -116,12 +116,29 @@ def m5_region_evidence(spark, d):
     return table(spark, d, "documents").select("doc_id", score.alias("score"))
 
 
+#: Each line of a text is one line of words, twelve points below the one before; every fifth line is close to its neighbour.
 CONTEXT = (
-    f"ctx AS (SELECT doc_id, {'{'}'words': len(ws), 'singles': len(list_filter(ws, lambda w: length(w) = 1)), 'mean_length': CASE WHEN len(ws) > 0 THEN list_sum(list_transform(ws, lambda w: length(w))) / len(ws)::DOUBLE ELSE 0 END, "
-    f"'long_lines': len(list_filter(string_split(text, chr(10)), lambda x: len(list_filter(regexp_split_to_array(x, '\\s+'), lambda w: w <> '')) >= 18)), 'prose': len(list_filter(ws, lambda w: list_contains({PROSE}, lower(w)))){'}'} AS c FROM (SELECT doc_id, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') AS ws FROM documents WHERE text IS NOT NULL))"
+    "tl AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS ln FROM documents), "
+    "tw AS (SELECT doc_id, ln, unnest(string_split(line, ' ')) AS w, generate_subscripts(string_split(line, ' '), 1) - 1 AS p FROM tl), "
+    f"ww AS (SELECT doc_id, round_even((12 * ln - CASE WHEN ln % 5 = 4 THEN 11 ELSE 0 END) / 4.0::DOUBLE, 0) AS bin, ln, p, trim(w, {WS}) AS w FROM tw WHERE trim(w, {WS}) <> ''), "
+    "wl AS (SELECT doc_id, bin, string_agg(w, ' ' ORDER BY ln, p) AS line, count(*) AS words, count(*) FILTER (regexp_matches(w, '[0-9]')) AS numbers, count(*) FILTER (length(trim(w, '.,;:()[]')) <= 1) AS singles, sum(length(w)) AS letters FROM ww GROUP BY ALL), "
+    f"ctx AS (SELECT d.doc_id, {{'words': coalesce(sum(words), 0), 'lines': count(line), 'long_lines': count(line) FILTER (len(list_filter(regexp_split_to_array(line, '\\s+'), lambda x: x <> '')) >= 14 OR length(line) >= 100), 'prose': coalesce(sum({COUNT.format('line')}), 0), "
+    "'numbers': coalesce(sum(numbers), 0), 'singles': coalesce(sum(singles), 0), 'mean_length': coalesce(round_even(sum(letters) / sum(words)::DOUBLE, 2), 0)} AS c FROM documents d LEFT JOIN wl USING (doc_id) GROUP BY d.doc_id)"
 )
 
 
+def contexts(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("ln", "line"))
+    top = 12 * F.col("ln") - F.when(F.col("ln") % 5 == 4, 11).otherwise(0)
+    words = lines.select("doc_id", top.cast("double").alias("top"), "ln", F.posexplode(F.split("line", " ", -1)).alias("p", "text"))
+    return mx.word_counts(words.withColumn("place", F.struct("ln", "p")), ["doc_id"])
+
+
+@query(f"WITH {CONTEXT} SELECT doc_id, c.words, c.lines, c.long_lines, c.prose, c.numbers, c.singles, c.mean_length FROM ctx WHERE c.words > 0")
+def g26_word_statistics(spark, d):
+    return contexts(spark, d).select("doc_id", "context.*")
+
+
 @query(
     f"WITH {CONTEXT} SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'unknown' WHEN doc_id % 2 = 0 THEN CASE WHEN conf < 0.5 AND doc_id % 5 = 0 THEN 'candidate_false_positive' WHEN c.words <= 4 THEN 'bbox_too_small' WHEN c.words >= 12 AND (c.singles >= 0.35::DOUBLE * c.words OR (c.mean_length > 0 AND c.mean_length <= 2.4)) THEN 'fragmented_text_layer' "
     "WHEN c.words >= 20 AND (c.long_lines >= 2 OR c.prose >= 8) THEN 'body_text_contamination' WHEN conf >= 0.65 THEN 'no_parser_output' ELSE 'unknown' END WHEN doc_id % 7 < 3 OR doc_id % 9 < 2 THEN 'low_rows_or_cols' WHEN doc_id % 11 = 1 THEN 'body_text_contamination' WHEN doc_id % 11 = 2 THEN 'header_or_span_complexity' WHEN doc_id % 11 = 3 THEN 'fragmented_text_layer' "
@@ -129,7 +146,7 @@ CONTEXT = (
 )
 def m28_rule_judge(spark, d):
     i = F.col("doc_id")
-    t = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", mx.word_counts(F.col("text")).alias("c"))
+    t = table(spark, d, "documents").select("doc_id").join(contexts(spark, d), "doc_id", "left").select("doc_id", F.coalesce("context", F.expr(mx.NO_WORDS)).alias("c"))
     reasons = F.when(i % 11 == 1, F.array(F.lit("prose_like_cells"))).when(i % 11 == 2, F.array(F.lit("low_consistency"))).when(i % 11 == 3, F.array(F.lit("low_fill_rate"))).otherwise(F.array().cast("array<string>"))
     v = ju.judged(i % 2 == 1, F.when(i % 13 == 0, "failed").otherwise(""), (i % 100) / 100, i % 5 == 0, F.lit(True), F.col("c"), i % 7, i % 9, reasons, (i % 10) / 10)
     return t.select("doc_id", v["category"].alias("category"))
