@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliant import registry
-from foliant.plans import context_queries, function_queries, grouping_queries, literature_queries, payload_queries, report_queries, retrieval_queries, store_queries, table_queries  # noqa: F401  they register their queries
+from foliant.plans import context_queries, function_queries, grouping_queries, literature_queries, payload_queries, report_queries, retrieval_queries, rewriting_queries, store_queries, table_queries  # noqa: F401  they register their queries
 
 
 def queries() -> dict:

@@ -54,58 +54,37 @@ def text_in_tables(chunks: DataFrame) -> DataFrame:
     return chunks.filter("content_type = 'text'").join(t, ["paper_id", "page"]).filter(inside).select("paper_id", "page", "id").distinct()
 
 
-def deduplicated(chunks: DataFrame) -> DataFrame:
-    """The greedy pass over a page's chunks in order, exactly: a text in a table goes; of two that overlap with like
-    texts the one of lower priority goes. Order-dependent, so a grouped function; a page is small by nature."""
-
-    def page(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("id").reset_index(drop=True)
-        boxes = [(b["x0"], b["y0"], b["x1"], b["y1"]) for b in rows["box"]]
-        kinds, gone = rows["content_type"].tolist(), set()
-        for i in range(len(rows)):
-            for j in range(i + 1, len(rows)):
-                if i in gone:
-                    break
-                if j in gone:
-                    continue
-                if {kinds[i], kinds[j]} == {"text", "table"}:
-                    t, o = (i, j) if kinds[i] == "text" else (j, i)
-                    if _inside(boxes[t], boxes[o]):
-                        gone.add(t)
-                elif _iou(boxes[i], boxes[j]) > IOU and _alike(rows["text"][i], rows["text"][j]) > SIMILARITY:
-                    gone.add(j if PRIORITY.get(kinds[i], 99) <= PRIORITY.get(kinds[j], 99) else i)
-        return rows.drop(index=list(gone))[["id", "paper_id", "page"]]
-
-    return chunks.select("id", "paper_id", "page", "content_type", "box", "text").groupBy("paper_id", "page").applyInPandas(page, "id long, paper_id string, page int")
-
-
-def _both(a, b):
-    w, h = min(a[2], b[2]) - max(a[0], b[0]), min(a[3], b[3]) - max(a[1], b[1])
-    return w * h if w > 0 and h > 0 else 0.0
-
+def conflicts(chunks: DataFrame) -> DataFrame:
+    """(paper_id, page, i, j, loser): pairs of a page, i before j, of which one has to go. A text in or near a table goes; of
+    two that overlap with like texts the one of lower priority goes, the later of equals."""
+    own = chunks.select("paper_id", "page", "id", "content_type", "box", "text")
+    a = own.select("paper_id", "page", *[F.col(c).alias(f"{c}_i") for c in ("id", "content_type", "box", "text")])
+    b = own.select("paper_id", "page", *[F.col(c).alias(f"{c}_j") for c in ("id", "content_type", "box", "text")])
+    kinds, text_first = F.concat_ws(" ", "content_type_i", "content_type_j"), F.col("content_type_i") == "text"
+    inside = lambda t, o: (geo.contained(t, o) >= CONTAINED) | geo.center_inside(t, o)
+    mixed = kinds.isin("text table", "table text")
+    in_table = F.when(text_first, inside(F.col("box_i"), F.col("box_j"))).otherwise(inside(F.col("box_j"), F.col("box_i")))
+    alike = (geo.iou(F.col("box_i"), F.col("box_j")) > IOU) & (similarity(F.col("text_i"), F.col("text_j")) > SIMILARITY)
+    rank = lambda c: F.when(F.col(c) == "table", PRIORITY["table"]).when(F.col(c) == "text", PRIORITY["text"]).when(F.col(c) == "image", PRIORITY["image"]).otherwise(99)
+    loser = F.when(mixed, F.when(text_first, F.col("id_i")).otherwise(F.col("id_j"))).when(rank("content_type_i") <= rank("content_type_j"), F.col("id_j")).otherwise(F.col("id_i"))
+    pairs = a.join(b, ["paper_id", "page"]).filter((F.col("id_i") < F.col("id_j")) & F.when(mixed, in_table).otherwise(alike))
+    return pairs.select("paper_id", "page", F.col("id_i").alias("i"), F.col("id_j").alias("j"), loser.alias("loser"))
+
+
+def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
+    gone: set = set()
+    for p in pdf.sort_values(["i", "j"]).itertuples():
+        if p.i not in gone and p.j not in gone:
+            gone.add(p.loser)
+    return pd.DataFrame({"id": sorted(gone)})
 
-def _size(a):
-    return (a[2] - a[0]) * (a[3] - a[1])
-
-
-def _iou(a, b):
-    both = _both(a, b)
-    return both / (_size(a) + _size(b) - both) if both else 0.0
-
-
-def _inside(a, b, tolerance=20.0):
-    x, y = (a[0] + a[2]) / 2, (a[1] + a[3]) / 2
-    near = b[0] - tolerance <= x <= b[2] + tolerance and b[1] - tolerance <= y <= b[3] + tolerance
-    return near or (_size(a) > 0 and _both(a, b) / _size(a) >= CONTAINED)
 
+def deduplicated(chunks: DataFrame) -> DataFrame:
+    """(id, paper_id, page) of the chunks that stay when conflicts() are settled in order, a chunk that is gone having none.
 
-def _alike(a, b):
-    a, b = (a or "").lower(), (b or "").lower()
-    x, y = a.split(), b.split()
-    if len(x) < 10 or len(y) < 10:
-        x, y = ({t[i : i + 3] for i in range(len(t) - 3)} if len(t) >= 5 else set(t.strip()) for t in (f" {a} ", f" {b} "))
-    x, y = set(x), set(y)
-    return len(x & y) / len(x | y) if x and y else 0.0
+    Pairs are found without their order, in the JVM; only the ids of a page's conflicts go through the ordered pass."""
+    gone = conflicts(chunks).groupBy("paper_id", "page").applyInPandas(_greedy, "id long")
+    return chunks.select("id", "paper_id", "page").join(gone, "id", "left_anti")
 
 
 def reading_order(chunks: DataFrame, page_height: float) -> DataFrame:

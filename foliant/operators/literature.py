@@ -176,3 +176,55 @@ def classified(text: Column) -> Column:
     chosen = lambda b: F.when(b["score"] > 0, kind(b["category_id"], b["category_name"], sure(b))).otherwise(kind(F.lit(OTHER[0]), F.lit(OTHER[1]), F.lit(0.25)))
     # Each transform over an array of one binds a value that is used more than once.
     return F.get(F.transform(F.transform(F.array(seen), best), chosen), F.lit(0))
+
+
+# What a brief's topics ask of an item's text besides their keywords.
+SHOWN_HOSTS, SHOWN_PROTEINS = ["pichia", "komagataella", "pastoris", "毕赤", "毕赤酵母"], ["lactoferrin", "osteopontin", "乳铁蛋白", "骨桥蛋白"]
+SHOWN_ASKED = {
+    "02": ["review", "overview", "meta-analysis", "systematic review", "综述"],
+    "04": ["glycosylation", "phosphorylation", "post-translational", "ptm", "糖基化", "磷酸化"],
+    "15": ["purification", "separation", "chromatography", "fermentation broth", "纯化", "分离"],
+}
+SHOWN_MADE = ["recombinant", "heterologous", "expression", "expressing", "secretion", "production"]
+SHOWN_EXPRESSED = ["recombinant", "heterologous", "expression", "expressing", "expressed", "production", "secretion"]
+SHOWN_STRONG = ["protein expression", "recombinant protein", "heterologous protein"]
+
+
+def topic_ids(text: Column, category_id: Column) -> Column:
+    """The topics of a brief that an item belongs to, in order: the one it is classified as and, unless it is classified as none,
+    those whose gate its text passes with enough signals (one for topics 01, 02 and 13, two for others)."""
+    import re
+
+    def ids(s: Column) -> Column:
+        stands = lambda w: F.array_contains(s["tokens"], w) if re.fullmatch(r"[a-z0-9'-]+", w) else F.contains(s["text"], F.lit(w))
+        some = lambda ws: F.array_max(F.array(*[stands(w).cast("int") for w in ws])) == 1
+        out = []
+        for topic, _, words in TOPICS:
+            signals = sum((stands(w).cast("int") for w in words if w not in HOSTS), F.lit(0))
+            gate = s["host"] & s["protein"] if topic == "03" else s["protein"] & some(SHOWN_ASKED[topic]) if topic in SHOWN_ASKED else s["host"]
+            enough = signals >= (1 if topic in ("01", "02") else 2)
+            if topic == "03":
+                enough = enough & some(SHOWN_MADE)
+            if topic == "13":
+                enough = some(SHOWN_STRONG) | ((signals >= 1) & some(SHOWN_EXPRESSED))
+            free = ~category_id.isin("", OTHER[0])
+            out.append(F.when((category_id == topic) | (free & gate & enough), F.lit(topic)))
+        return F.array_compact(F.array(*out))
+
+    within = lambda ws: F.exists(_texts(ws), lambda w: F.contains(text, w))
+    seen = F.struct(text.alias("text"), F.array_distinct(F.regexp_extract_all(text, F.lit("([a-z0-9'-]+)"), 1)).alias("tokens"), within(SHOWN_HOSTS).alias("host"), within(SHOWN_PROTEINS).alias("protein"))
+    return tx.bound(seen, ids)
+
+
+def topic_groups(items: DataFrame) -> DataFrame:
+    """(topic_id, hit_count, high_count) of every topic, with none too, over items(candidate_id, priority, topics)."""
+    names = items.sparkSession.createDataFrame([(i,) for i, _, _ in TOPICS], "topic_id string")
+    n = items.select("priority", F.explode("topics").alias("topic_id")).groupBy("topic_id").agg(F.count("*").alias("hit_count"), F.count_if(F.col("priority") == "high").alias("high_count"))
+    return names.join(n, "topic_id", "left").select("topic_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("hit_count", "high_count")])
+
+
+def topic_summary(items: DataFrame) -> DataFrame:
+    """One row: places shown, different candidates, repeats, topics with a hit, over items(candidate_id, topics)."""
+    shown = items.select("candidate_id", F.explode("topics").alias("topic_id"))
+    s = shown.agg(F.count("*").alias("display_count"), F.count_distinct(F.when(F.col("candidate_id") != "", F.col("candidate_id"))).alias("unique_count"), F.count_distinct("topic_id").alias("hit_category_count"))
+    return s.withColumn("duplicate_count", F.greatest(F.col("display_count") - F.col("unique_count"), F.lit(0)))

@@ -265,7 +265,15 @@ def f4_headings(spark, d):
     return lines.select("doc_id", "n", (capital | line.rlike(r"^[0-9]+(\.[0-9]+)*\.?\s+\S")).alias("is_heading"))
 
 
-@query()
+GRAMS = "list_distinct(CASE WHEN short THEN CASE WHEN length({0}) < 3 THEN list_filter(string_split(trim({0}), ''), lambda x: x <> '') ELSE list_transform(range(1, length({0})), lambda i: substr(' ' || {0} || ' ', i, 3)) END ELSE w{0} END)"
+
+
+@query(
+    r"WITH c AS (SELECT conv_id, turn, lower(lag(text) OVER (PARTITION BY conv_id ORDER BY turn)) AS a, lower(coalesce(text, '')) AS b FROM conversations), "
+    r"w AS (SELECT *, list_filter(regexp_split_to_array(a, '\s+'), lambda x: x <> '') AS wa, list_filter(regexp_split_to_array(b, '\s+'), lambda x: x <> '') AS wb FROM c WHERE a IS NOT NULL), "
+    f"g AS (SELECT *, {GRAMS.format('a')} AS x, {GRAMS.format('b')} AS y FROM (SELECT *, len(wa) < 10 OR len(wb) < 10 AS short FROM w)) "
+    "SELECT conv_id, turn, round(CASE WHEN a = '' OR b = '' THEN 0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE END, 6) AS similarity FROM g"
+)
 def x27_similarity(spark, d):
     """Texts of neighbours in a conversation, by words or character 3-grams."""
     w = Window.partitionBy("conv_id").orderBy("turn")
