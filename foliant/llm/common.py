@@ -93,13 +93,12 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, train:
     return one_of_each(texts.join(F.broadcast(chosen), F.col("__doc") == F.col("__id")), "__doc", "__label", "__text")
 
 
-def fitted(sample: DataFrame, fit: Callable, most_bytes: int):
+def fitted(sample: DataFrame, fit: Callable, label_bytes: int):
     """fit(rows) of the (UTF-8 text, label) rows of a bounded sample, run in one task; only the model comes to the driver.
 
-    In the order of their hashes texts are taken as long as they fit into the label's share of most_bytes, equal for all labels;
-    a label's first text is always taken. So memory is bounded in bytes as well as in rows.
+    In the order of their hashes a label's texts are taken as long as they fit into label_bytes; its first text is always
+    taken. So memory is bounded in bytes as well as in rows.
     """
-    kinds = max(1, sample.select("label").distinct().count())
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common_cache().clear()
@@ -107,7 +106,7 @@ def fitted(sample: DataFrame, fit: Callable, most_bytes: int):
         for b in batches:
             for k, label in enumerate(b.column(0).to_pylist()):
                 n = len(b.column(1)[k].as_buffer() or b"")
-                if label not in used or used[label] + n <= most_bytes // kinds:
+                if label not in used or used[label] + n <= label_bytes:
                     used[label] = used.get(label, 0) + n
                     rows.append((b.column(1)[k].as_py(), label))
         model = pickle.dumps(fit(rows), protocol=pickle.HIGHEST_PROTOCOL)

@@ -28,9 +28,9 @@ from foliant.llm.subword import grams
 
 ORDERS = (1, 2, 3, 4)
 BUCKETS = 1 << 16
-#: Bounds of the sample of training texts: texts of each language, bytes of all of them. Texts are read whole.
+#: Bounds of the sample of training texts of each language: rows, bytes of text. Texts are read whole.
 SAMPLE = 160
-SAMPLE_BYTES = 2 << 20
+SAMPLE_BYTES = 1 << 19
 LENGTH = 40
 EPOCHS = 30
 SEGMENT = 64

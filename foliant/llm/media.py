@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP decoded to numpy arrays, area-resized by integral images, written as NPY tiles with
 difference hashes.
 
-decode() reads P1 to P6 Netpbm (8-bit samples) and uncompressed 8-, 24- and 32-bit BMP. area_resize() averages the
+decode() reads P1 to P6 Netpbm (8-bit samples, scaled to 255 from a smaller maximum; bitmaps as 1 for black) and
+uncompressed 8-, 24- and 32-bit BMP without colour masks. area_resize() averages the
 exact area under each target pixel: the integral image is read at fractional borders by linear interpolation, so any
 size maps to any other. A tile is the NPY form of (part of) the decoded array; its difference hash compares
 neighbours of the array resized to 9 by 8.
@@ -59,6 +60,8 @@ def decode_netpbm(data: bytes) -> np.ndarray:
         out = np.frombuffer(data, np.uint8, n, at + 1) if len(data) >= at + 1 + n else np.zeros(0, np.uint8)
     if len(out) != n:
         raise ValueError("too few samples")
+    if kind not in (1, 4) and top < 255:
+        out = ((np.minimum(out, top).astype(np.uint32) * 510 + top) // (2 * top)).astype(np.uint8)
     return out.reshape((height, width, 3) if planes == 3 else (height, width))
 
 
@@ -70,8 +73,8 @@ def decode_bmp(data: bytes) -> np.ndarray:
     if data[:2] != b"BM" or len(data) < 54:
         raise ValueError("no BMP header")
     at, _, width, height, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if packed not in (0, 3) or bits not in (8, 24, 32) or width <= 0 or height == 0:
-        raise ValueError("a kind of BMP that is not read")
+    if packed != 0 or bits not in (8, 24, 32) or width <= 0 or height == 0:
+        raise ValueError("a kind of BMP that is not read")  # compressed, or with its own masks for the colours
     row = (width * bits // 8 + 3) // 4 * 4
     if len(data) < at + row * abs(height):
         raise ValueError("too few samples")

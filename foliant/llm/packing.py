@@ -174,7 +174,7 @@ class Packer:
 PIECE = "start long, length long, ids_crc32 long, doc_tokens long, task long, window long, offset long, open boolean"
 
 
-def _place(df: DataFrame, path: str, capacity: int, open_windows: int) -> DataFrame:
+def _place(df: DataFrame, path: str | None, capacity: int, open_windows: int) -> DataFrame:
     rows = df.select(F.struct("doc_id").alias("row"), common.utf8(F.col("text")).alias("utf8"), F.spark_partition_id().cast("long").alias("task"))
     schema = T.StructType([rows.schema["row"], *T._parse_datatype_string(PIECE).fields])
     names = [f.name for f in schema.fields]
@@ -192,7 +192,7 @@ def _place(df: DataFrame, path: str, capacity: int, open_windows: int) -> DataFr
         for b in batches:
             if not b.num_rows:
                 continue
-            encoder = encoder or encoder_for(path)
+            encoder = encoder or encoder_for(path or tokenizer_path())  # where it lies on this machine
             row_type = b.column(0).type
             own, task = b.column(0).to_pylist(), b.column(2)[0].as_py()
             done = []
@@ -235,7 +235,7 @@ def merge(windows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 def pack(df: DataFrame, path: str | None = None, capacity: int = CAPACITY, open_windows: int = OPEN, merged: int = MERGED) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece of df(doc_id, text)."""
-    pieces = common.written(_place(df, path or tokenizer_path(), capacity, open_windows), "pieces")
+    pieces = common.written(_place(df, path, capacity, open_windows), "pieces")
     left = pieces.filter("open").groupBy("task", "window").agg(F.sum("length").alias("n"))
     moved = left.groupBy(F.floor(F.col("task") / merged).alias("group")).applyInPandas(lambda pdf: merge(pdf, capacity), "task long, window long, to_task long, to_window long, base long")
     sequence = lambda task, window: F.shiftleft(task, 40) + window

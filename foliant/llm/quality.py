@@ -20,9 +20,9 @@ TREES = 70
 DEPTH = 5
 RATE = 0.12
 LEAST = 20
-#: Bounds of the labelled sample that the classifier is fitted on: rows of each label, bytes of text.
+#: Bounds of the labelled sample that the classifier is fitted on: rows and bytes of text of each label.
 SAMPLE = {0: 3000, 1: 4000}
-SAMPLE_BYTES = 32 << 20
+SAMPLE_BYTES = 16 << 20
 
 _CLASSES = np.zeros(256, np.int64)
 _GROUPS = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" ", b"\n", b"\t\r\x0b\x0c", b".", b",", b";:!?", b"'\"`", b"()[]{}<>", b"|", b"/\\", b"-_~", b"#$%&*+=@^"]

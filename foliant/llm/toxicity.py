@@ -34,9 +34,9 @@ PRIOR = 1.4e-3
 LEAST_SHARE = 0.25
 #: Share of the log odds that n-grams which tell toxic texts apart start with.
 START = 1.0
-#: Bounds of the labelled sample that the classifier is fitted on: rows of each label, bytes of text.
+#: Bounds of the labelled sample that the classifier is fitted on: rows and bytes of text of each label.
 SAMPLE = {0: 3000, 1: 1500}
-SAMPLE_BYTES = 16 << 20
+SAMPLE_BYTES = 10 << 20
 CACHE = 100_000
 EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "¡¿«»„“”’‘…–—"
 

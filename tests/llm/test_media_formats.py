@@ -19,7 +19,10 @@ def test_plain_netpbm():
     assert media.decode(b"P2 # grey\n2 2\n255\n1 2\n3 4").tolist() == [[1, 2], [3, 4]]
     assert media.decode(b"P1\n3 2\n101\n010").tolist() == [[1, 0, 1], [0, 1, 0]]
     assert media.decode(b"P4\n3 2\n" + bytes([0b10100000, 0b01000000])).tolist() == [[1, 0, 1], [0, 1, 0]]
-    for bad in (b"", b"P5\n4 4\n255\nxx", b"GIF89a", b"BM123"):
+    assert media.decode(b"P2 3 1 15 0 15 5").tolist() == [[0, 255, 85]]
+    masks = bytearray(media.encode_bmp(np.zeros((2, 2, 3), np.uint8)))
+    masks[30] = 3  # colours under masks of their own
+    for bad in (bytes(masks), b"", b"P5\n4 4\n255\nxx", b"GIF89a", b"BM123"):
         with pytest.raises(ValueError):
             media.decode(bad)
 

@@ -87,6 +87,30 @@ def test_mixing(spark, docs_dir, rows):
     assert found and got(spark, docs_dir, "op2_mixing").__len__() == len(rows)
 
 
+def test_the_queue_decides_what_is_taken(spark):
+    """Sizes that don't divide a target: plain fair queueing over packets, which differs from a prefix of each source."""
+    from foliant.llm import mixing
+
+    sizes = {"a": [700, 900, 1300, 40], "b": [50, 3000, 60, 80, 2000], "c": [10, 20, 5]}
+    docs = [(100 * k + i, " ".join(["w"] * n), s) for k, (s, ns) in enumerate(sizes.items()) for i, n in enumerate(ns)]
+    got = {r["doc_id"]: r for r in mixing.mix(spark.createDataFrame(docs, "doc_id long, text string, source string")).collect()}
+    line, target = [], {r["source"]: r["target"] for r in got.values()}
+    for i, text, s in docs:
+        own = sorted((hashlib.md5(f"mix:{d}".encode()).hexdigest(), d, len(t.split())) for d, t, x in docs if x == s)
+        for turn in range(2):
+            start = sum(n for *_, n in own) * turn + sum(n for h, d, n in own if (h, d) < (hashlib.md5(f"mix:{i}".encode()).hexdigest(), i))
+            n, most = len(text.split()), max(1, int(target[s] // 1000))
+            for at in range(0, n, most):
+                line.append(((start + min(n, at + most)) / target[s], s, turn, i, min(most, n - at)))
+    left, taken = int(1.5 * sum(map(sum, sizes.values()))), Counter()
+    for _, _, _, i, n in sorted(line):
+        taken[i] += min(n, left)
+        left -= min(n, left)
+    assert {i: r["taken"] for i, r in got.items()} == {i: taken[i] for i in got}
+    for s, t in target.items():
+        assert abs(sum(r["taken"] for r in got.values() if r["source"] == s) - t) <= len(target) * max(1, max(target.values()) / 1000) + 1
+
+
 def test_targets_stop_at_twice_the_size(spark):
     from foliant.llm import mixing
 
@@ -96,6 +120,23 @@ def test_targets_stop_at_twice_the_size(spark):
     assert math.isclose(sum(target.values()), 1.5 * 1115) and target["b"] < 2000
 
 
+def dhash(x):
+    """Of rows of 64 grey levels, by the exact area under each of 8 by 9 cells, in fractions."""
+    from fractions import Fraction
+
+    h, w = len(x), len(x[0])
+
+    def over(n, size, k):  # (pixel, share of it) under cell k of n
+        a, b = Fraction(k * size, n), Fraction((k + 1) * size, n)
+        return [(p, min(b, p + 1) - max(a, p)) for p in range(int(a), min(size, int(b) + 1)) if min(b, p + 1) > max(a, p)]
+
+    bits = ""
+    for i in range(8):
+        cells = [sum(fy * fx * x[y][z] for y, fy in over(8, h, i) for z, fx in over(9, w, j)) for j in range(9)]
+        bits += "".join(str(int(a < b)) for a, b in zip(cells, cells[1:]))
+    return f"{int(bits, 2):016x}"
+
+
 def test_media(spark, docs_dir, rows):
     own = by_id(got(spark, docs_dir, "op3_media"))
     for doc_id, text, *_ in rows:
@@ -103,6 +144,10 @@ def test_media(spark, docs_dir, rows):
         p = x + bytes(-len(x) % 64) if x else bytes(64)
         for r in own[doc_id]:
             assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(x), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-64:]))
+            stored = b"P5\n64 %d\n255\n" % (len(p) // 64) + p
+            assert (r["media_bytes"], r["media_sha256"]) == (len(stored), hashlib.sha256(stored).hexdigest())
+            if len(p) < 2000:
+                assert r["feature"] == dhash([list(p[k : k + 64]) for k in range(0, len(p), 64)])
 
 
 def test_line_dedup(spark, docs_dir, rows):
@@ -174,7 +219,27 @@ def test_nearest(spark, tmp_path):
     assert hit >= 0.9 * 20 * len(found)
 
 
-@pytest.mark.parametrize(("name", "label", "mod", "rest", "least", "share"), [("op7_quality", lambda t: "|" not in t, 3, 1, 0.5, 0.9), ("op9_toxicity", lambda t: "idiot" in t, 4, 2, 0.3, 0.65)])
+def test_nearest_where_lists_are_short_and_names_clash(spark, tmp_path):
+    """Far apart clusters of less than k vectors, components near the largest of floats, columns named as inside."""
+    from foliant.llm import ann
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(5)
+    v = np.repeat(np.eye(12) * 10, 15, 0) + rng.normal(size=(180, 12)) * 0.01
+    v[7] = 1e30
+    df = spark.createDataFrame([(i, [float(a) for a in x], "c", 1) for i, x in enumerate(v)], "vec_id long, embedding array<double>, list string, score int").withColumn("v", F.lit("clash"))
+    got = defaultdict(list)
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, 20).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"]))
+    for q in range(0, 180, 20):
+        assert sorted(r for r, _ in got[q]) == list(range(1, 21))
+        s = v @ v[q]
+        s[q] = -np.inf
+        want = set(np.lexsort((np.arange(180), -s))[:14].tolist())
+        assert len(want & {i for _, i in got[q]}) >= 12
+
+
+@pytest.mark.parametrize(("name", "label", "mod", "rest", "least", "share"), [("op7_quality", lambda t: "|" not in t, 3, 1, 0.5, 0.9), ("op9_toxicity", lambda t: "idiot" in t, 4, 2, 0.3, 0.85)])
 def test_classifiers(spark, docs_dir, rows, name, label, mod, rest, least, share):
     found = got(spark, docs_dir, name)
     assert len(found) == len(rows) and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= least) for r in found)
@@ -184,6 +249,69 @@ def test_classifiers(spark, docs_dir, rows, name, label, mod, rest, least, share
     assert sum(a == b for a, b in held) >= share * len(held)
 
 
+def test_forest_as_plain_trees():
+    from foliant.llm import quality
+
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(400, 6))
+    y = ((x[:, 0] > 0.3) | (x[:, 1] * x[:, 2] > 0.5)).astype(float)
+    f = quality.fit(x, y)
+    new = np.concatenate([rng.normal(size=(100, 6)), x[:20]])
+    want = []
+    for row in new:
+        raw = f.base
+        for t in range(len(f.feature)):
+            node = 0
+            while f.left[t, node] != node:
+                node = f.left[t, node] if row[f.feature[t, node]] <= f.threshold[t, node] else f.right[t, node]
+            raw += f.value[t, node]
+        want.append(1 / (1 + math.exp(-raw)))
+    assert np.allclose(f(new), want) and ((f(x) >= 0.5) == y).mean() > 0.95
+
+
+def test_statistics_of_a_text():
+    from foliant.llm import quality
+
+    s = quality.statistics(b"Ab 12, ab\nab ab.")
+    assert len(s) == quality.N_CLASSES + 17 and np.isclose(sum(s[: quality.N_CLASSES]), 1)
+    n, tail = quality.N_CLASSES, lambda k: s[quality.N_CLASSES + k]
+    assert np.isclose(s[0], 7 / 16) and np.isclose(s[1], 1 / 16) and np.isclose(s[2], 2 / 16)  # small and large letters, digits
+    assert np.allclose([tail(0), tail(1), tail(2)], np.log1p([16, 5, 2])) and np.isclose(tail(8), 3 / 5) and np.isclose(tail(10), 1 / 5) and np.isclose(tail(12), 1 / 2)
+    assert len(quality.statistics(b"")) == n + 17 and not any(quality.statistics(b"")[:n])
+
+
+def test_toxicity_as_a_plain_window():
+    from foliant.llm import toxicity
+    from foliant.llm.subword import grams
+
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(rng.normal(size=toxicity.BUCKETS).astype(np.float32), -1.5)
+    texts = [b"", b" \n", b"One! two, three", b"a b c d e f g h i j k " * 3, "ßé漢 ... x".encode()]
+
+    def plain(text):
+        words = [w for w in (x.strip(toxicity.EDGES) for x in text.decode().lower().split()) if w]
+        z = []
+        for w in words:
+            _, ids = grams([w], toxicity.ORDERS, toxicity.BUCKETS)
+            z.append(sum(float(model.z[i]) for i in ids) / len(ids))
+        top = max((sum(z[max(0, k - 7) : k + 1]) for k in range(len(z))), default=0.0)
+        return 1 / (1 + math.exp(-(model.bias + top / 8)))
+
+    assert np.allclose(toxicity.Scorer(model)(texts), [plain(t) for t in texts], atol=1e-6)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    from foliant.llm import common
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(i % 40 if i < 400 else None, "x" * (1 + i % 7)) for i in range(500)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (None, 1)], "doc_id long, y int")
+    sample = common.labelled_sample(docs, labels, "y", F.lit(True), {0: 1000, 1: 1000})
+    assert sample.count() == 40  # one text of each id
+    assert sum(len(t) for t in common.fitted(sample, lambda rows: [t for t, _ in rows], 10)) <= 20
+    assert common.fitted(sample.limit(0), lambda rows: rows, 10) == []
+
+
 def test_toxic_words_share_vectors_with_misspellings():
     import random
 
