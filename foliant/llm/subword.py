@@ -25,7 +25,7 @@ def grams(words: list[str], orders: tuple[int, ...], buckets: int) -> tuple[np.n
     owners, ids = [], []
     with np.errstate(over="ignore"):
         h = np.full(len(codes), _BASE, np.uint64)
-        for n in range(1, max(orders) + 1):
+        for n in range(1, min(max(orders), len(codes)) + 1):
             h[: len(codes) - n + 1] = (h[: len(codes) - n + 1] ^ codes[n - 1 :]) * _PRIME
             if n in orders:
                 at = np.flatnonzero(left >= n)
