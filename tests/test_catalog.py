@@ -7,7 +7,7 @@ import pytest
 
 from foliant import catalog
 
-TABLES = "documents embeddings benchmark labels conversations events pages".split()
+TABLES = "documents embeddings benchmark labels conversations events pages supplier region nation".split()
 
 
 def plain(v):
