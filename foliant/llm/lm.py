@@ -1,10 +1,16 @@
 """LM scoring with a log-bilinear model trained by noise-contrastive estimation.
 
-The model predicts the next of MODEL_WORDS classes (the corpus's most frequent words, one class for all other words)
-from the two classes before it: score(w | c1, c2) = (A[c1] + B[c2]) . R[w] + b[w]. Every partition of the corpus takes
-NCE steps over all its training tokens from common parameters; the results are averaged, weighted by tokens, and
-the next round starts from the average. A word of the last class is scored further by its smoothed share of that
-class, so every word has a probability and all of them add up to one.
+The model predicts the next class from the two classes before it: score(w | c1, c2) = (A[c1] + B[c2]) . R[w] + b[w].
+The OWN_WORDS most frequent words are a class each. Other words of the head that occur LEAST times or more are
+grouped by the company they keep (below); their groups are classes too, as many as the square root of the words that
+they hold, so classes and what they hold grow with the corpus up to the bound of the head. All other words, unseen
+ones too, are one class. Every partition of the corpus takes NCE steps over all its training tokens from common
+parameters; the results are averaged, weighted by tokens, and the next round starts from the average. A word is scored
+further by its smoothed share of its class, so every word has a probability and all of them add up to one.
+
+The company of a word is the sum, over all its occurrences in training texts, of fixed random signs of the head words
+in the same BLOCK tokens. These sums are whole numbers, the same however the texts are dealt to partitions. Groups are
+the clusters of the words' mean company, less the corpus mean.
 
 Because the score is a sum over the two contexts, the normaliser of every context pair comes from one product of two
 matrices, exp(A R') times exp(B R' + b)', which each worker makes once; token log-probabilities are then looked up.
@@ -32,7 +38,12 @@ from foliant.llm import common
 END = b""  # no word is empty
 HEAD = 1 << 17
 HEAD_BYTES = 64
-MODEL_WORDS = 2048
+OWN_WORDS = 1536
+LEAST = 2
+SIGNS = 16
+BLOCK = 16
+#: Tokens of a text whose company is added up at a time; a multiple of BLOCK.
+PIECE = 1 << 16
 DIM = 12
 ROUNDS = 1
 BATCH = 2048
@@ -85,25 +96,109 @@ def head_of(counts: DataFrame, most: int = HEAD) -> tuple[list[bytes], list[int]
     return [bytes(r["word"]) for r in rows], [r["c"] for r in rows]
 
 
+def company(texts: DataFrame, words: list[bytes], counts: list[int], total: int) -> np.ndarray:
+    """For each word the sum of the signs of the words around it, over all of texts(utf8)."""
+    weight = np.maximum(1, np.round(16 * np.sqrt(np.minimum(1, 1e-3 * total / np.array(counts)))))
+    signs = np.random.default_rng(5).choice(np.array([-1, 1], np.int8), (len(words), SIGNS)) * weight[:, None].astype(np.int8)
+    held = texts.sparkSession.sparkContext.broadcast((words, signs))
+
+    def part(batches):
+        own, signs = held.value
+        n = len(own)
+        ids = {w: i for i, w in enumerate(own)}
+        signs = np.concatenate([signs, np.zeros((1, SIGNS), np.int8)]).astype(np.float32)
+        found = np.zeros((n, SIGNS))
+
+        def add(pieces):
+            lens = np.array([len(p) for p in pieces])
+            flat, blocks = np.concatenate(pieces), -(-lens // BLOCK)
+            first = np.repeat(np.cumsum(lens) - lens - BLOCK * (np.cumsum(blocks) - blocks), blocks) + BLOCK * np.arange(blocks.sum())
+            own = signs[flat]
+            around = np.repeat(np.add.reduceat(own, first), np.diff(np.append(first, len(flat))), axis=0) - own
+            for k in range(SIGNS):
+                found[:, k] += np.bincount(flat, around[:, k], n + 1)[:n]
+
+        pieces, waiting = [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                x = np.array([ids.get(w, n) for w in tokens(t)], np.int64)
+                for i in range(0, len(x), PIECE):
+                    pieces.append(x[i : i + PIECE])
+                    waiting += len(pieces[-1])
+                    if waiting >= PIECE:
+                        add(pieces)
+                        pieces, waiting = [], 0
+        if pieces:
+            add(pieces)
+        some = np.flatnonzero(found.any(1))
+        for i in range(0, len(some), 8192):
+            at = some[i : i + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *[pa.array(found[at, k].astype(np.int64)) for k in range(SIGNS)]], ["id", *names])
+        del found, signs, ids
+        common.trim()
+
+    names = [f"x{k}" for k in range(SIGNS)]
+    sums = texts.select("utf8").mapInArrow(part, "id int, " + ", ".join(f"{c} long" for c in names))
+    got = sums.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    held.unpersist()
+    out = np.zeros((len(words), SIGNS))
+    out[got.column("id").to_numpy()] = np.stack([got.column(c).to_numpy() for c in names], 1)
+    return out
+
+
+def groups_of(sums: np.ndarray, counts: list[int]) -> np.ndarray:
+    """The group of each word, -1 for those that have a class of their own or are too rare."""
+    c = np.array(counts, np.float64)
+    out = np.full(len(c), -1)
+    at = np.flatnonzero((np.arange(len(c)) >= OWN_WORDS) & (c >= LEAST))
+    if not len(at):
+        return out
+    mean = sums.sum(0) / c.sum()
+    x = (sums[at] - c[at, None] * mean) / c[at, None]
+    x = (x / np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))).astype(np.float32)
+    rng, k = np.random.default_rng(9), math.ceil(math.sqrt(len(at)))
+    centers = x[rng.permutation(len(x))[:k]]
+    for _ in range(10):
+        near = np.concatenate([(x[i : i + 8192] @ centers.T).argmax(1) for i in range(0, len(x), 8192)])
+        total = np.stack([np.bincount(near, x[:, j], k) for j in range(x.shape[1])], 1)
+        size = np.linalg.norm(total, axis=1, keepdims=True)
+        centers = np.where(size > 0, total / np.maximum(size, 1e-9), centers).astype(np.float32)
+    out[at] = near
+    return out
+
+
 class Vocabulary:
-    """The head words in order of count, and the corpus totals."""
+    """The head words in order of count, their classes and shares, and the corpus totals."""
 
-    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int):
+    def __init__(self, words: list[bytes], counts: list[int], total: int, distinct: int, groups: np.ndarray | None = None):
         self.words, self.counts = words, np.array(counts, np.float64)
         self.total, self.distinct = total, distinct
-        # Classes: the first words (the end token always), then one for all others; one more context for the start.
-        n = min(MODEL_WORDS - 1, len(words))
-        first = words[:n]
-        if END in words and END not in first:
-            first[-1] = END
-        self.classes = {w: i for i, w in enumerate(first)}
-        self.other = len(first)
+        # Classes: the first words (the end token always), groups, then one for all others; one more context for the start.
+        n = min(OWN_WORDS, len(words))
+        own = np.arange(n)
+        if END in words:
+            own[-1] = max(own[-1], words.index(END))
+        cls = np.full(len(words), -1)
+        cls[own] = np.arange(n)
+        grouped = np.flatnonzero((cls < 0) & (groups >= 0)) if groups is not None else np.zeros(0, int)
+        used = 0
+        if len(grouped):
+            kinds, at = np.unique(groups[grouped], return_inverse=True)
+            cls[grouped], used = n + at, len(kinds)
+        self.other = n + used
         self.start = self.other + 1
-        own = dict(zip(words, counts))
-        inside = np.array([own[w] for w in first], np.float64)
-        self.rest_total = max(0.0, total - inside.sum())
-        self.rest_distinct = distinct - n
-        self.class_counts = np.concatenate([inside, [self.rest_total]])
+        inside = cls >= 0
+        held = np.bincount(cls[inside], self.counts[inside], self.other)
+        size = np.bincount(cls[inside], minlength=self.other)
+        self.rest_total = max(0.0, total - held.sum())
+        self.rest_distinct = distinct - int(inside.sum())
+        self.class_counts = np.append(held, self.rest_total)
+        self.classes = {w: k for w, k in zip(words, cls.tolist()) if k >= 0}
+        share = self.rest(self.counts)
+        share[inside] = np.log10((self.counts[inside] + 0.5) / (held + 0.5 * size)[cls[inside]])
+        # The last place is that of words outside of the head.
+        self.share = np.append(share, 0.0)
+        self.cls = np.append(np.where(inside, cls, self.other), self.other)
 
     def base(self, c):
         return np.log10((c + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
@@ -250,10 +345,8 @@ class Scorer:
         self.tables = model.tables()
         self.ids = {w: i for i, w in enumerate(vocab.words)}
         self.base = vocab.base(vocab.counts) if len(vocab.words) else np.zeros(0)
-        self.cls = np.array([vocab.classes.get(w, vocab.other) for w in vocab.words] + [vocab.other], np.int64)
-        inside = np.array([w in vocab.classes for w in vocab.words], bool)
-        self.rest = np.where(inside, 0.0, vocab.rest(vocab.counts)) if len(vocab.words) else np.zeros(0)
-        self.base, self.rest = np.append(self.base, 0.0), np.append(self.rest, 0.0)
+        self.cls, self.rest = vocab.cls, vocab.share
+        self.base = np.append(self.base, 0.0)
 
     def __call__(self, texts: list[bytes]) -> list[list]:
         n, known, base, score, words, counts = [], [], [], [], [], []
@@ -285,7 +378,9 @@ def score(df: DataFrame, train_rows: Column, keep: list[str] | None = None) -> D
     texts = df.filter(train_rows).select(common.utf8(F.col("text")).alias("utf8"))
     counts = common.written(word_counts(texts), "counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    vocab = Vocabulary(*head_of(counts), total[0], total[1])
+    words, often = head_of(counts)
+    groups = groups_of(company(texts, words, often, total[0]), often) if len(words) > OWN_WORDS else None
+    vocab = Vocabulary(words, often, total[0], total[1], groups)
     model = train(texts, vocab)
     held = spark.sparkContext.broadcast((model, vocab))
 

@@ -9,6 +9,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from foliant.llm import packing, queries
 
@@ -195,6 +196,55 @@ def test_lm_probabilities_add_up_to_one():
     assert np.allclose(np.exp(s1[:, None, :] + s2[None, :, :] - z[:, :, None]).sum(2), 1, atol=1e-4)
 
 
+def test_lm_groups_share_what_their_class_has(monkeypatch):
+    from foliant.llm import lm
+
+    monkeypatch.setattr(lm, "OWN_WORDS", 2)
+    words, counts = [b"a", b"b", b"c", b"d", b"e", lm.END, b"f"], [9, 8, 7, 6, 5, 4, 1]
+    vocab = lm.Vocabulary(words, counts, 40, 7, np.array([-1, -1, 3, 8, 3, 8, -1]))
+    # The end token takes the last class of its own, b goes without a group; 3 and 8 are groups, f and b are the rest.
+    assert vocab.cls.tolist() == [0, 4, 2, 3, 2, 1, 4, 4]
+    assert vocab.class_counts.tolist() == [9, 4, 12, 6, 9] and vocab.rest_distinct == 2
+    share = 10 ** vocab.share
+    assert np.allclose([share[:-1][vocab.cls[:-1] == k].sum() for k in range(4)], 1)
+    # The last class keeps a place for an unseen word.
+    assert np.isclose(share[[1, 6]].sum() + 10 ** vocab.rest(0), 1)
+
+
+def test_lm_company(spark, docs_dir, rows):
+    from foliant.llm import common, lm
+
+    texts = [lm.tokens((t or "").encode()) for _, t, *_ in rows]
+    counts = Counter(w for ws in texts for w in ws)
+    top = counts.most_common(150)
+    words, often = [w for w, _ in top], [c for _, c in top]
+    total = sum(counts.values())
+    weight = np.maximum(1, np.round(16 * np.sqrt(np.minimum(1, 1e-3 * total / np.array(often)))))
+    signs = np.random.default_rng(5).choice(np.array([-1, 1]), (150, lm.SIGNS)) * weight[:, None]
+    place = {w: i for i, w in enumerate(words)}
+    want = np.zeros((150, lm.SIGNS))
+    for ws in texts:
+        for i in range(0, len(ws), lm.BLOCK):
+            block = [place[w] for w in ws[i : i + lm.BLOCK] if w in place]
+            for x in block:
+                want[x] += signs[block].sum(0) - signs[x]
+    df = common.table(spark, docs_dir, "documents").select(common.utf8(F.col("text")).alias("utf8"))
+    for parts in (1, 5):
+        assert (lm.company(df.repartition(parts), words, often, total) == want).all()
+    assert lm.groups_of(want, often).tolist() == [-1] * 150  # all of them have a class of their own
+
+
+def test_lm_groups_are_clusters(monkeypatch):
+    from foliant.llm import lm
+
+    monkeypatch.setattr(lm, "OWN_WORDS", 4)
+    sums = np.array([[0.0, 0.0]] * 4 + [[9.0, 1.0]] * 4 + [[-9.0, -1.0]] * 5)
+    found = lm.groups_of(sums * 10, [5] * 12 + [1])
+    assert found[:4].tolist() == [-1] * 4 and found[12] == -1  # too rare
+    assert len(set(found[4:8])) == len(set(found[8:12])) == 1 and found[4] != found[8]
+    assert (lm.groups_of(np.zeros((6, 2)), [3] * 6) >= 0).tolist() == [False] * 4 + [True] * 2
+
+
 def test_nearest(spark, tmp_path):
     rng = np.random.default_rng(0)
     vecs = rng.normal(size=(3000, 16)).astype(np.float32)
@@ -222,7 +272,6 @@ def test_nearest(spark, tmp_path):
 def test_nearest_where_lists_are_short_and_names_clash(spark, tmp_path):
     """Far apart clusters of less than k vectors, components near the largest of floats, columns named as inside."""
     from foliant.llm import ann
-    from pyspark.sql import functions as F
 
     rng = np.random.default_rng(5)
     v = np.repeat(np.eye(12) * 10, 15, 0) + rng.normal(size=(180, 12)) * 0.01
@@ -302,7 +351,6 @@ def test_toxicity_as_a_plain_window():
 
 def test_samples_are_bounded_in_rows_and_bytes(spark):
     from foliant.llm import common
-    from pyspark.sql import functions as F
 
     docs = spark.createDataFrame([(i % 40 if i < 400 else None, "x" * (1 + i % 7)) for i in range(500)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(3, 1), (None, 1)], "doc_id long, y int")
