@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
+from foliant.operators import evaluation as ev
 from foliant.operators import retrieval as rt
 from foliant.operators import search_index as si
 from foliant.registry import query, table
@@ -290,3 +291,33 @@ def d3_protect_prefix(spark, d):
     s = seeds(spark, d).select("id", "rank")
     p = s.select("id").orderBy("id").limit(3).select("id", F.row_number().over(Window.orderBy("id")).alias("rank"))
     return rt.protected_prefix(s, p, 10).select("id", "new_rank")
+
+
+OFFLINE = list(tx.query_terms(QUERY))
+
+
+@query(
+    f"WITH {ENTRIES}, f AS (SELECT id, unnest([{{'t': normalized, 'w': 1.0::DOUBLE}}, {{'t': coalesce(paper_id, ''), 'w': 6.0::DOUBLE}}], recursive := true) FROM entries), "
+    "df AS (SELECT term, count(DISTINCT id) AS df FROM (SELECT id, unnest(string_split(t, ' ')) AS term FROM f) GROUP BY term), "
+    f"q AS (SELECT v.term, ln((1 + (SELECT count(*) FROM entries)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (VALUES {', '.join(f'({t!r})' for t in OFFLINE)}) v(term) LEFT JOIN df USING (term)), "
+    "n AS (SELECT id, w, idf, (length(t) - length(replace(t, term, ''))) / length(term) AS n FROM f, q), "
+    f"s AS (SELECT id, sum(CASE WHEN n > 0 THEN least(3, 1 + 0.25 * (n - 1)) * w * idf ELSE 0 END) AS s FROM n GROUP BY id), p AS (SELECT id, sum(CASE WHEN contains(t, '{' '.join(OFFLINE[:4])}') THEN 2 * w ELSE 0 END) AS p FROM f GROUP BY id) "
+    "SELECT id, round(s + p, 6) AS score FROM s JOIN p USING (id) WHERE s + p > 0"
+)
+def v4_offline_fielded(spark, d):
+    rows = entries(spark, d)
+    fields = {"content": F.col("normalized"), "title": F.col("paper_id")}
+    scores = rows.select("id", tx.once(ev.offline_score(fields, ev.offline_idf(rows, fields, OFFLINE))).alias("score"))
+    return scores.filter("score > 0").select("id", F.round("score", 6).alias("score"))
+
+
+EXPECTED = ["Wher", "report", "ingly"]
+
+
+@query(
+    f"WITH h AS (SELECT conv_id, turn, list_filter({[e.lower() for e in EXPECTED]}, lambda e: contains(lower(text), e))[1] AS term FROM conversations) "
+    "SELECT conv_id, count(*) AS hit_count, min(turn) FILTER (term IS NOT NULL) AS matched_rank, arg_min(term, (turn, term)) FILTER (term IS NOT NULL) AS matched_term FROM h GROUP BY conv_id"
+)
+def v7_first_match(spark, d):
+    """Turns of a conversation stand for the ranked hits of a case."""
+    return ev.first_match(table(spark, d, "conversations"), "conv_id", "turn", "text", EXPECTED)

@@ -1,7 +1,10 @@
+import math
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from foliant.functions import text as tx
+from foliant.operators import evaluation as ev
 from foliant.operators import retrieval as rt
 
 
@@ -46,3 +49,21 @@ def test_fusion_protects_the_first_raw_hits(spark):
     rows = [("raw", 1.0, i, "p1", i, 1.0 - i / 10) for i in range(1, 4)] + [("alias", 0.55, i, "p2" if i == 8 else "p1", r, 0.9) for r, i in enumerate((9, 8, 3), 1)]
     got = rt.multi_query(spark.createDataFrame(rows, "route string, weight double, id long, paper_id string, rank int, raw_score double"), 4).collect()
     assert [r["id"] for r in got] == [1, 2, 3, 9] and got[2]["matched_routes"] == ["alias", "raw"]
+
+
+def test_offline_score(spark):
+    rows = spark.createDataFrame([(1, "gene yield gene", "gene yield"), (2, "genetic gene gene gene gene gene gene gene gene gene", None), (3, "", "other")], "id long, content string, title string")
+    fields = {"content": F.col("content"), "title": F.col("title")}
+    idf = ev.offline_idf(rows, fields, ["gene", "yield"])
+    assert idf == {"gene": math.log(4 / 3) + 1, "yield": math.log(4 / 2) + 1}
+    found = {r["id"]: r["s"] for r in rows.select("id", ev.offline_score(fields, idf).alias("s")).collect()}
+    phrase = 2 * 1 + 2 * 6
+    assert math.isclose(found[1], idf["gene"] * (1.25 + 6) + idf["yield"] * (1 + 6) + phrase)
+    # Ten occurrences, one of them inside of a word, count three times at most.
+    assert math.isclose(found[2], idf["gene"] * 3) and found[3] == 0
+
+
+def test_first_match(spark):
+    hits = spark.createDataFrame([("a", 1, "nothing"), ("a", 2, "a YIELD of titer"), ("a", 3, "titer"), ("b", 1, None)], "case string, rank int, text string")
+    found = sorted(map(tuple, ev.first_match(hits, "case", "rank", "text", ["Titer", "yield"]).collect()))
+    assert found == [("a", 3, 2, "titer"), ("b", 1, None, None)]
