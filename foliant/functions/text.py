@@ -233,12 +233,13 @@ def occurrences(text: Column, term: str) -> Column:
 
 
 def word_in(text: Column, keyword: str) -> Column:
-    """A keyword of ASCII letters stands as a word of its own, any other keyword anywhere; text is in lower case."""
+    """A keyword of ASCII letters stands as a word of its own, any other keyword anywhere. The keyword is lowered, the text isn't:
+    letters of either case border on a word."""
     k = keyword.strip().lower()
     if not k:
         return F.lit(False)
     if re.fullmatch(r"[a-z0-9'-]+", k):
-        return text.rlike(rf"(?<![a-z0-9'-]){re.escape(k)}(?![a-z0-9'-])")
+        return text.rlike(rf"(?<![A-Za-z0-9'-]){re.escape(k)}(?![A-Za-z0-9'-])")
     return F.contains(text, F.lit(k))
 
 

@@ -36,6 +36,11 @@ def test_word_in(spark):
         assert one(spark, tx.word_in(F.col("c"), "strain"), c=text) is hit
 
 
+def test_word_in_borders_on_capitals(spark):
+    for text, hit in (("Athe", False), ("theA", False), ("The the", True), ("THEthe", False), ("\nthe\n", True)):
+        assert one(spark, tx.word_in(F.col("c"), "the"), c=text) is hit
+
+
 def test_query_terms_keep_the_larger_weight():
     t = tx.query_terms("LNT II accumulation in metabolic pathway")
     assert t["lnt ii lacto n triose ii"] == 0.30 and t["accumulation"] == 0.10 and t["metabolic"] == 0.08
