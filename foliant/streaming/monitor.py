@@ -10,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliant.operators.search_index import scratch
+
+STATE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def windowed(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
     w = events.withWatermark("at", late) if events.isStreaming else events
@@ -31,8 +36,22 @@ def latest_activity(events: DataFrame) -> DataFrame:
 
 
 def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over all that is there and returns what it has put out, as a table in memory (tests, small logs)."""
+    """Runs a stream over all that is there and returns what it has put out. Rows that are appended go to files in the shared
+    folder, written by the executors, and their state to RocksDB, so neither is held by the driver or in a heap. In other modes, whose
+    rows are few groups, they become a table in memory."""
+    spark = stream.sparkSession
     name = f"drained_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    writer = stream.writeStream.queryName(name).outputMode(mode).trigger(availableNow=True)
+    if mode != "append":
+        q = writer.format("memory").start()
+        q.awaitTermination()
+        return spark.table(name)
+    at = f"{scratch(spark)}/{name}"
+    before = spark.conf.get(STATE, None)
+    spark.conf.set(STATE, ROCKSDB)
+    try:
+        q = writer.format("parquet").option("path", f"{at}/rows").option("checkpointLocation", f"{at}/checkpoint").start()
+    finally:
+        spark.conf.set(STATE, before) if before else spark.conf.unset(STATE)
     q.awaitTermination()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(f"{at}/rows")
